@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import mixing, ngram_join
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
 }
 
