@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join
+from . import mixing, ngram_join, sentencepiece_bpe
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op3_sentencepiece": sentencepiece_bpe.op3_sentencepiece,
 }
 
 ORACLE_SQL = {
