@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +123,7 @@ def _prefixes(sketch, k: int, percent: int, hot: int):
                 key = set_key(sh)
                 if key in seen:
                     continue
-                if len(seen) < 500_000:
-                    seen.add(key)
+                seen.add(key)
                 p = prefix_length(n, percent)
                 freq = counts[sh & mask]
                 first = np.lexsort((sh, freq))[:p]
@@ -175,30 +175,35 @@ def _may_link(n1: str, p1: str, n2: str, p2: str, percent: int):
     return length & (best * (100 + percent) >= (a + b) * percent)
 
 
-def _sets(wanted, k: int):
+def _sets(wanted, k: int, again: bool):
+    """The sets of wanted keys, each once in a task; ``part`` tells the tasks' copies apart."""
+
+    def batch_of(keys, blobs, part):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], names=["key", "part", "grams"])
+
     def run(batches):
         bits = wanted.value
+        part = TaskContext.get().partitionId()
+        part = -1 - part if again else part
         seen: set[int] = set()
+        keys, blobs, held = [], [], 0
         for batch in batches:
-            keys, blobs, held = [], [], 0
             for text in batch.column(0):
                 sh = shingles(text.as_py(), k)
                 if not len(sh):
                     continue
                 key = set_key(sh)
-                at = _slots(key)
-                if not (bits[at[0] >> 3] >> (at[0] & 7) & 1 and bits[at[1] >> 3] >> (at[1] & 7) & 1) or key in seen:
+                if key in seen or not all(bits[at >> 3] >> (at & 7) & 1 for at in _slots(key)):
                     continue
-                if len(seen) < 500_000:
-                    seen.add(key)
+                seen.add(key)
                 keys.append(key)
                 blobs.append(sh.tobytes())
                 held += len(blobs[-1])
                 if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "grams"])
+                    yield batch_of(keys, blobs, part)
                     keys, blobs, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "grams"])
+        if keys:
+            yield batch_of(keys, blobs, part)
 
     return run
 
@@ -249,11 +254,11 @@ def _verify(percent: int):
         group = held = None
         for batch in batches:
             us, vs = [], []
-            for u, part, v, grams in zip(*(batch.column(i) for i in range(4))):
+            for u, lot, v, grams in zip(*(batch.column(i) for i in range(4))):
                 if v.as_py() is None:
-                    group, held = (u.as_py(), part.as_py()), np.frombuffer(grams.as_py(), dtype=np.uint64)
+                    group, held = (u.as_py(), lot.as_py()), np.frombuffer(grams.as_py(), dtype=np.uint64)
                     continue
-                assert group == (u.as_py(), part.as_py())
+                assert group == (u.as_py(), lot.as_py())
                 other = np.frombuffer(grams.as_py(), dtype=np.uint64)
                 if overlap_at_least(held, other, required_overlap(len(held), len(other), percent)) is not None:
                     us.append(group[0])
@@ -263,13 +268,25 @@ def _verify(percent: int):
     return run
 
 
+def _sets_of(pairs: DataFrame, texts: DataFrame, k: int, again: bool) -> DataFrame:
+    """``key, part, grams`` of every key in ``pairs(u, v)`` and of a few more: a filter of fixed size picks them in the scan."""
+    keys = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key")))
+    found = keys.mapInArrow(_filter_bits, "block int, bits binary").repartition(1, "block").mapInArrow(_or_bits, "bits binary").first()
+    wanted = pairs.sparkSession.sparkContext.broadcast(found[0] if found else bytes(1 << (FILTER_BITS - 3)))
+    return cut(texts.mapInArrow(_sets(wanted, k, again), "key long, part int, grams binary"), "op2-sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)``, distinct, whose sets are similar enough. A set with many partners is sent once for each group of them."""
+    home = sets.groupBy("key").agg(F.min("part").alias("home"))
     load = pairs.groupBy("u").agg(F.count("*").alias("partners"))
-    pairs = pairs.join(load, "u").select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("partners") / PARTNERS_PER_GROUP)).cast("int").alias("part"), "v")
-    left = pairs.select("u", "part").distinct().join(sets, F.col("u") == F.col("key")).select("u", "part", F.lit(None).cast("long").alias("v"), "grams")
-    right = pairs.join(sets, F.col("v") == F.col("key")).select("u", "part", "v", "grams")
-    both = left.unionByName(right).repartition(shuffle_partitions(pairs.sparkSession), "u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    pairs = pairs.join(load, "u").select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("partners") / PARTNERS_PER_GROUP)).cast("int").alias("lot"), "v")
+    at_u = home.select(F.col("key").alias("u"), F.col("home").alias("u_part"))
+    at_v = home.select(F.col("key").alias("v"), F.col("home").alias("v_part"))
+    pairs = pairs.join(at_u, "u").join(at_v, "v")
+    left = pairs.select("u", "u_part", "lot").distinct().join(sets, (F.col("u") == F.col("key")) & (F.col("u_part") == F.col("part"))).select("u", "lot", F.lit(None).cast("long").alias("v"), "grams")
+    right = pairs.join(sets, (F.col("v") == F.col("key")) & (F.col("v_part") == F.col("part"))).select("u", "lot", "v", "grams")
+    both = left.unionByName(right).repartition(shuffle_partitions(pairs.sparkSession), "u", "lot").sortWithinPartitions("u", "lot", F.col("v").asc_nulls_first())
     return both.mapInArrow(_verify(percent), "u long, v long")
 
 
@@ -298,13 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = leaders.join(top, "gram").where("key <> lkey").where(near).select(F.least("key", "lkey").alias("u"), F.greatest("key", "lkey").alias("v"))
     pairs = cut(star.unionByName(second).distinct(), "op2-pairs")
 
-    member_bits = buckets.select("key").mapInArrow(_filter_bits, "block int, bits binary")
-    found = member_bits.repartition(1, "block").mapInArrow(_or_bits, "bits binary").first()  # 2 MB, compressed on the way
-    wanted = spark.sparkContext.broadcast(found[0] if found else bytes(1 << (FILTER_BITS - 3)))
-    members = buckets.select("key").distinct()
-    sets = texts.mapInArrow(_sets(wanted, k), "key long, grams binary").join(members, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
-    sets = cut(sets, "op2-sets")
-
+    sets = _sets_of(pairs, texts, k, False)
     links = cut(_verified(pairs, sets, percent), "op2-links")
     comp = connected_components(links)
 
@@ -318,7 +329,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = cross.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
     cross = cut(cross.join(pairs, ["u", "v"], "left_anti"), "op2-cross")
     if cross.take(1):
-        more = cut(_verified(cross, sets, percent), "op2-links")
+        had = sets.select("key").distinct()
+        missing = cross.select(F.col("u").alias("key")).unionByName(cross.select(F.col("v").alias("key"))).join(had, "key", "left_anti")
+        more_sets = _sets_of(missing.select(F.col("key").alias("u"), F.col("key").alias("v")), texts, k, True)
+        more = cut(_verified(cross, sets.unionByName(more_sets), percent), "op2-links")
+        drop_cut(more_sets)
         if more.take(1):
             comp = connected_components(links.unionByName(more))
 
