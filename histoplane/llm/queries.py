@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, sentencepiece_bpe
+from . import fingerprints, html_text, mixing, ngram_join, sentencepiece_bpe, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_sentencepiece": sentencepiece_bpe.op3_sentencepiece,
+    "op4_html_text": html_text.op4_html_text,
+    "op6_warc": warc.op6_warc,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
 }
 
 ORACLE_SQL = {
     "op2_ngram_jaccard_join": ngram_join.OP2_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
