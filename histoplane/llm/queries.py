@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, mixing, ngram_join, sentencepiece_bpe, warc
+from . import fingerprints, html_text, mixing, ngram_join, sentencepiece_bpe, vector_search, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_html_text": html_text.op4_html_text,
     "op6_warc": warc.op6_warc,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_exact_top_k": vector_search.op8_exact_top_k,
 }
 
 ORACLE_SQL = {
     "op2_ngram_jaccard_join": ngram_join.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op8_exact_top_k": vector_search.OP8_SQL,
 }
