@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 
@@ -228,7 +229,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[st
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "decoded", text_col)]
     ahead = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ahead.schema
-    out = schema.add("ids", "array<int>")
+    out = schema.add("ids", T.ArrayType(T.IntegerType()))
     names = [*keep, "__text", "ids"]
     if decode:
         out, names = out.add("decoded", "string"), [*names, "decoded"]
