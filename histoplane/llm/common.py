@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -26,26 +26,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@contextlib.contextmanager
-def _shuffle_files_go(spark: SparkSession):
-    """What is written needs its shuffle files no more; otherwise they stay until the driver's JVM collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    if before is None:  # not known to this version
-        yield
-        return
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    with _shuffle_files_go(df.sparkSession):
-        df.write.parquet(path)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -60,6 +44,12 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of jobs that are over go once the driver's JVM has collected what names them; a large step asks for that."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

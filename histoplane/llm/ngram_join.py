@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, read_table, shuffle_partitions
+from .common import cut, drop_cut, read_table, release_shuffles, shuffle_partitions
 from .components import connected_components
 from .shingles import set_key, shingles
 
@@ -307,6 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = max(shuffle_partitions(spark), -(-entries // ENTRIES_PER_PARTITION))
     entry = texts.mapInArrow(_prefixes(shared_sketch, k, percent, hot), "gram long, salt int, key long, n int, pos int")
     buckets = cut(entry.repartition(parts, "gram", "salt").mapInArrow(_buckets, "gram long, salt int, key long, n int, pos int, lkey long, ln int, lpos int"), "op2-buckets")
+    release_shuffles(spark)
 
     near = _may_link("n", "pos", "ln", "lpos", percent)
     star = buckets.where("key <> lkey").where(near).select(F.least("key", "lkey").alias("u"), F.greatest("key", "lkey").alias("v"))
@@ -317,6 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sets = _sets_of(pairs, texts, k, False)
     links = cut(_verified(pairs, sets, percent), "op2-links")
+    release_shuffles(spark)
     comp = connected_components(links)
 
     at = comp.withColumnRenamed("node", "key")
@@ -328,12 +330,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = away.join(there, (away["gram"] == there["gram"]) & (F.col("comp") != F.col("comp2")) & _may_link("n", "pos", "n2", "pos2", percent))
     cross = cross.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
     cross = cut(cross.join(pairs, ["u", "v"], "left_anti"), "op2-cross")
+    release_shuffles(spark)
     if cross.take(1):
         had = sets.select("key").distinct()
         missing = cross.select(F.col("u").alias("key")).unionByName(cross.select(F.col("v").alias("key"))).join(had, "key", "left_anti")
         more_sets = _sets_of(missing.select(F.col("key").alias("u"), F.col("key").alias("v")), texts, k, True)
         more = cut(_verified(cross, sets.unionByName(more_sets), percent), "op2-links")
         drop_cut(more_sets)
+        release_shuffles(spark)
         if more.take(1):
             comp = connected_components(links.unionByName(more))
 
