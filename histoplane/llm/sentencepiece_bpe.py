@@ -228,11 +228,10 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[st
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "decoded", text_col)]
     ahead = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ahead.schema
-    out = schema.add("ids", T.ArrayType(T.IntegerType()))
+    out = T.StructType([*ahead.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     names = [*keep, "__text", "ids"]
     if decode:
-        out, names = out.add("decoded", "string"), [*names, "decoded"]
+        out, names = T.StructType([*out.fields, T.StructField("decoded", T.StringType())]), [*names, "decoded"]
     return ahead.mapInArrow(_encode_batches(model_path, len(keep), names, decode), out).drop("__text")
 
 
