@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, mixing, ngram_join, sentencepiece_bpe, vector_search, warc
+from . import chat, fingerprints, html_text, mixing, ngram_join, quality, sentencepiece_bpe, vector_search, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,10 +12,13 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_exact_top_k": vector_search.op8_exact_top_k,
+    "op9_quality": quality.op9_quality,
+    "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE_SQL = {
     "op2_ngram_jaccard_join": ngram_join.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
     "op8_exact_top_k": vector_search.OP8_SQL,
+    "op10_chat_format": chat.OP10_SQL,
 }
