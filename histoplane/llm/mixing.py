@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 TOLERANCE = 1e-10
 MAX_ITERATIONS = 60
 #: Rows of a source that are summed in one task.
-RUN_ROWS = 20_000
+RUN_ROWS = 1_000
 #: Passes that close a source's gap, each with documents of at most twice the gap left by the one before.
 CLOSINGS = 2
 
