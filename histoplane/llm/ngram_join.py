@@ -39,7 +39,7 @@ from .components import connected_components
 from .shingles import set_key, shingles
 
 #: Counters of the frequency sketch: 2 ** SKETCH_BITS of 4 bytes, whatever the size of the corpus.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 BLOCK_BITS = 16
 #: Bits of the filter that tells which documents stand in a shared bucket: 2 MB, whatever the corpus.
 FILTER_BITS = 24
@@ -48,6 +48,7 @@ ENTRIES_PER_PARTITION = 750_000
 HOT_BUCKET = 200_000
 #: Partners that are verified against one copy of a set.
 PARTNERS_PER_GROUP = 1_000
+PROFILE = ["doc_id", "n", "key", "mark", "block", "counts"]
 
 
 def required_overlap(a, b, percent: int):
@@ -59,6 +60,46 @@ def prefix_length(n, percent: int):
     return n - -(-(percent * n) // 100) + 1
 
 
+def signature(sh: np.ndarray) -> bytes | None:
+    """How many of a set's hashes fall in each of about n / 2 slots, a byte each; None where one doesn't hold it."""
+    slots = 1 << max(4, (len(sh) // 2).bit_length())
+    counts = np.bincount((sh & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return None if len(counts) and counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """No less than the intersection of the two sets with these signatures."""
+    x, y = np.frombuffer(a, dtype=np.uint8).astype(np.int32), np.frombuffer(b, dtype=np.uint8).astype(np.int32)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
+def _passing(percent: int):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (a, b, n, m) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                a, b = a.as_py(), b.as_py()
+                if a is None or b is None or overlap_bound(a, b) >= required_overlap(n, m, percent):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
+
+    return run
+
+
+def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose signatures allow the overlap: a suffix filter over the whole sets, at a sixteenth of their size."""
+    keys = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    marks = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.first("mark").alias("mark"), F.first("n").alias("n"))
+    left = marks.select(F.col("key").alias("u"), F.col("mark").alias("a"), F.col("n").alias("n1"))
+    right = marks.select(F.col("key").alias("v"), F.col("mark").alias("b"), F.col("n").alias("n2"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", "n1", "n2").mapInArrow(_passing(percent), "u long, v long")
+
+
 def _profile(k: int):
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -72,10 +113,11 @@ def _profile(k: int):
                 held.clear()
 
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, marks = [], [], []
             for text in batch.column(1):
                 sh = shingles(text.as_py(), k)
                 sizes.append(len(sh))
+                marks.append(signature(sh))
                 keys.append(set_key(sh) if len(sh) else None)
                 held.append(sh)
                 size += len(sh)
@@ -84,15 +126,15 @@ def _profile(k: int):
                     size = 0
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n", "key", "block", "counts"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=PROFILE,
             )
         flush()
         blocks = [b for b in np.split(sketch, 1 << (SKETCH_BITS - BLOCK_BITS))]
         m = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())],
-            names=["doc_id", "n", "key", "block", "counts"],
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())],
+            names=PROFILE,
         )
 
     return run
@@ -294,7 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``doc_id, n_shingles, class_key, component_id``; see the module's text."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    profile = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_profile(k), "doc_id long, n long, key long, block int, counts binary"), "op2-profile")
+    profile = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_profile(k), "doc_id long, n long, key long, mark binary, block int, counts binary"), "op2-profile")
+    marked = profile.where("block is null").select("n", "key", "mark")
     rows = profile.where("block is null").select("doc_id", "n", "key")
 
     entries = rows.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
@@ -316,8 +359,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = leaders.join(top, "gram").where("key <> lkey").where(near).select(F.least("key", "lkey").alias("u"), F.greatest("key", "lkey").alias("v"))
     pairs = cut(star.unionByName(second).distinct(), "op2-pairs")
 
-    sets = _sets_of(pairs, texts, k, False)
-    links = cut(_verified(pairs, sets, percent), "op2-links")
+    likely = cut(_bounded(pairs, marked, percent), "op2-likely")
+    sets = _sets_of(likely, texts, k, False)
+    links = cut(_verified(likely, sets, percent), "op2-links")
     release_shuffles(spark)
     comp = connected_components(links)
 
@@ -329,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     there = named.select("gram", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
     cross = away.join(there, (away["gram"] == there["gram"]) & (F.col("comp") != F.col("comp2")) & _may_link("n", "pos", "n2", "pos2", percent))
     cross = cross.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
-    cross = cut(cross.join(pairs, ["u", "v"], "left_anti"), "op2-cross")
+    cross = cut(_bounded(cut(cross.join(pairs, ["u", "v"], "left_anti"), "op2-cross"), marked, percent), "op2-likely")
     release_shuffles(spark)
     if cross.take(1):
         had = sets.select("key").distinct()
