@@ -107,59 +107,71 @@ def _running(rows: DataFrame, value: Column) -> DataFrame:
     return rows.join(totals, rows["src"].eqNullSafe(totals["s"]) & (rows["run"] == totals["r"])).withColumn("upto", F.col("earlier") + F.col("inside")).drop("s", "r", "earlier", "inside", "run")
 
 
-def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """One row per document: ``id, src, size, source_size, target, rate, copies``.
-
-    ``copies`` is between 0 and ``cap``; each source's sum of ``copies * size`` comes within half the size of
-    one document of its target, as far as there are documents no larger than the gap.
-    """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), size.alias("size")), "op1-sizes")
+def solve(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sizes, and a row of parameters for each source."""
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), _size(text_col).alias("size")), "op1-sizes")
     sources = cut(_sources(sized, weights, share, cap), "op1-sources")
     histogram = cut(sized.where("size > 0").groupBy("src", "size").agg(F.count("*").alias("n")), "op1-histogram")
     lam = _multipliers(histogram, sources, cap)
     lam = lam.select(F.col("src").alias("s"), "lam")
-    solved = cut(sources.join(lam, sources["src"].eqNullSafe(lam["s"]), "left").drop("s"), "op1-solved")
-    renamed = solved.withColumnRenamed("src", "s")
-
-    rate = F.when(F.col("target") >= F.col("source_size") * cap, F.lit(float(cap))).when(F.col("lam").isNull(), F.lit(0.0)).otherwise(_rate(F.col("lam"), F.col("size").cast("double"), F.col("scale"), cap))
+    params = cut(sources.join(lam, sources["src"].eqNullSafe(lam["s"]), "left").drop("s").withColumn("closings", F.array().cast("array<struct<gap:bigint,until:double>>")), "op1-params")
+    for _ in range(CLOSINGS):
+        rows = _with_copies(sized, params, cap)
+        taken = rows.groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.max("target").alias("goal"))
+        gaps = cut(taken.select("src", F.round(F.col("goal") - F.col("got")).cast("long").alias("gap")), "op1-gaps").withColumnRenamed("src", "s")
+        rows = rows.join(gaps, rows["src"].eqNullSafe(gaps["s"])).drop("s")
+        upto = _running(rows, F.when(_movable(F.col("gap"), cap), F.col("size")).otherwise(F.lit(0)).cast("long"))
+        moved = (F.col("value") > 0) & (F.col("upto") - F.col("value") / 2 <= F.abs("gap"))
+        until = upto.groupBy("src").agg(F.max("gap").alias("gap"), F.max(F.when(moved, F.col("u"))).alias("until")).select(F.col("src").alias("s"), F.struct("gap", F.coalesce("until", F.lit(-1.0)).alias("until")).alias("closing"))
+        after = params.join(until, params["src"].eqNullSafe(until["s"])).withColumn("closings", F.array_append("closings", F.col("closing"))).select(params.columns)
+        params = cut(after, "op1-params")
+    return sized, params
+
+
+def _movable(gap: Column, cap: int) -> Column:
+    return (F.col("size") > 0) & (F.col("size") <= F.abs(gap) * 2) & F.when(gap > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+
+
+def _with_copies(rows: DataFrame, params: DataFrame, cap: int) -> DataFrame:
+    """``rows`` (with id, src, size) and their sources' parameters, ``rate``, ``u`` and ``copies``: a function of the row and its source alone."""
+    full = F.col("target") >= F.col("source_size") * cap
+    rate = F.when(full, F.lit(float(cap))).when(F.col("lam").isNull(), F.lit(0.0)).otherwise(_rate(F.col("lam"), F.col("size").cast("double"), F.col("scale"), cap))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.round(rate, 9))
     unit = F.pmod(F.xxhash64("id", "size", F.lit("mix")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     other = F.pmod(F.xxhash64("id", "size", F.lit("gap")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    rows = sized.join(renamed, sized["src"].eqNullSafe(renamed["s"])).drop("s").withColumn("rate", rate)
-    rows = rows.withColumn("copies", F.least(F.floor(F.col("rate") + unit), F.lit(cap)).cast("long")).withColumn("u", other)
-    state = cut(rows.select("id", "src", "size", "source_size", "target", "rows", "rate", "copies", "u"), "op1-copies")
-    for again in range(CLOSINGS):
-        taken = state.groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.max("target").alias("goal"))
-        gaps = cut(taken.select(F.col("src").alias("s"), F.round(F.col("goal") - F.col("got")).cast("long").alias("gap")), "op1-gaps")
-        rows = state.join(gaps, state["src"].eqNullSafe(gaps["s"])).drop("s")
-        movable = (F.col("size") > 0) & (F.col("size") <= F.abs("gap") * 2) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-        upto = _running(rows, F.when(movable, F.col("size")).otherwise(F.lit(0)).cast("long"))
-        step = F.when((F.col("value") > 0) & (F.col("upto") - F.col("value") / 2 <= F.abs("gap")), F.signum("gap").cast("long")).otherwise(F.lit(0))
-        after = cut(upto.withColumn("copies", F.col("copies") + step).select(state.columns), "op1-copies")
-        drop_cut(state)
-        state = after
-    return state.select("id", "src", "size", "source_size", "target", "rate", "copies")
+    named = params.withColumnRenamed("src", "s")
+    rows = rows.join(named, rows["src"].eqNullSafe(named["s"])).drop("s").withColumn("rate", rate).withColumn("u", other)
+    rows = rows.withColumn("copies", F.least(F.floor(F.col("rate") + unit), F.lit(cap)).cast("long"))
+    for i in range(CLOSINGS):
+        closing = F.get("closings", F.lit(i))
+        moves = closing.isNotNull() & (F.col("u") <= closing["until"]) & _movable(closing["gap"], cap)
+        rows = rows.withColumn("copies", F.when(moves, F.col("copies") + F.signum(closing["gap"]).cast("long")).otherwise(F.col("copies")))
+    return rows.drop("closings")
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """One row per document: ``id, src, size, source_size, target, rate, copies``.
+
+    ``copies`` is between 0 and ``cap``; each source's sum of ``copies * size`` comes within about half the size of
+    one document of its target, as far as there are documents no larger than the gap.
+    """
+    sized, params = solve(docs, id_col, text_col, source_col, weights, share, cap)
+    return _with_copies(sized, params, cap).select("id", "src", "size", "source_size", "target", "rate", "copies")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
     """The documents themselves, each repeated as often as it has copies; the columns stay.
 
-    Rows that repeat an id are told apart by size only, so rows equal in both share their copies evenly up to one.
+    Copies follow from the row and the few numbers of its source, so texts are joined with those and not shuffled by id.
     """
-    copies = mixed_copies(docs, id_col, text_col, source_col, **options).select("id", "src", "size", "copies")
-    by_id = copies.groupBy("id", "src", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).select(F.col("id").alias("_id"), F.col("src").alias("_src"), F.col("size").alias("_size"), "copies", "rows")
-    by_id = cut(by_id, "op1-copies").where("copies > 0")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    spread = F.floor((F.col("_copies") + F.col("_rows") - F.lit(1) - F.col("_nth")) / F.col("_rows"))
-    by_id = by_id.select("_id", "_src", "_size", F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
-    one = by_id.where("_rows = 1")
-    many = by_id.where("_rows > 1")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src"))
-    single = docs.join(one, same & (size == F.col("_size"))).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    nth = F.row_number().over(Window.partitionBy("_id", "_src", "_size").orderBy(F.xxhash64(text_col))) - 1
-    repeated = docs.join(many, same & (size == F.col("_size"))).withColumn("_nth", nth).withColumn("_k", spread.cast("int")).where("_k > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-    return single.select(docs.columns).unionByName(repeated.select(docs.columns))
+    _, params = solve(docs, id_col, text_col, source_col, weights, share, cap)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("src"), _size(text_col).alias("size"))
+    out = _with_copies(row, params, cap).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
