@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     usable = labels.where(learn_from).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
     chosen = usable.withColumn("turn", F.xxhash64("_id", "label")).orderBy("turn", "_id").limit(sample)
     # at most ``sample`` rows of 20 bytes
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("turn", "label", F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("turn", "label", "text")
     rows = texts.mapInArrow(_featurise(bits), "turn long, label int, features binary")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     one = rows.repartition(1).sortWithinPartitions("epoch", "turn", "label", "features").select("label", "features")
