@@ -34,8 +34,9 @@ def prepare_data(df: DataFrame, cell_id_col: str | None = None, x_col: str = "X"
         df = df.drop(*old).withColumnRenamed(found, "Cell_ID")
     for name, given in (("X", x_col), ("Y", y_col)):
         source = axis(df, given, name)
-        if source != name:
-            df = df.drop(name).withColumnRenamed(source, name)
+        if source.lower() != name.lower():
+            df = df.drop(name)
+        df = df.withColumnRenamed(source, name)
         df = df.withColumn(name, F.col(name).cast("string").try_cast("double"))
     df = df.where(is_finite(F.col("X")) & is_finite(F.col("Y")))
     if celltype_col in df.columns:
