@@ -513,3 +513,25 @@ def _(spark, d):
     e = X.scale_features(V.dense_expression(spark, d))
     _, vectors = X.component_spectrum(e, FEATURES, 5)
     return K.expression_clusters(X.component_scores(e, FEATURES, vectors))
+
+
+@_register("process_clusters")
+def _(spark, d):
+    from ..operators.process import process_data
+
+    return process_data(V.dense_expression(spark, d).withColumn("value", F.abs("value")), FEATURES).clusters
+
+
+@_register("process_layout")
+def _(spark, d):
+    from ..operators.process import plane_points, process_data
+
+    done = process_data(V.dense_expression(spark, d).withColumn("value", F.abs("value")), FEATURES)
+    return plane_points(done.layout, done.clusters)
+
+
+@_register("spatial_scatter", "SELECT cell_id AS id, X AS x, Y AS y, cluster AS category FROM c2")
+def _(spark, d):
+    from ..operators.process import spatial_scatter
+
+    return spatial_scatter(V.large_cells(spark, d), "cluster")

@@ -185,3 +185,24 @@ def test_sources(spark, tmp_path):
 
 def test_palette():
     assert [len(palette(n)) for n in (1, 2, 9, 12, 40)] == [1, 2, 9, 12, 40] and len(set(palette(40))) == 40
+
+
+def test_dendrogram_order():
+    from histoplane.operators.process import dendrogram_order
+
+    m = np.array([[0.0], [10.0], [0.1], [10.1], [5.0]])
+    for method in ("complete", "ward"):
+        order = dendrogram_order(m, method)
+        assert sorted(order) == [0, 1, 2, 3, 4] and abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1
+
+
+def test_stream_ingest(spark, tmp_path):
+    from histoplane.streaming.ingest import ingest_cells
+
+    (tmp_path / "in").mkdir()
+    table(spark, [(1, 0.0, 0.0, "A"), (2, float("nan"), 0.0, "A")]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "cell_id long, X double, Y double, celltype string"
+    ingest_cells(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "mark"))
+    table(spark, [(3, 1.0, 1.0, "B"), (1, 0.0, 0.0, "A")]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest_cells(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert sorted(r.Cell_ID for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 1, 3]
