@@ -5,11 +5,11 @@ frequency (a fixed-size count sketch over all documents) and then by hash; any o
 results, a rare-first one keeps the buckets small. Two sets that are similar enough share an n-gram
 among the first ``n - ceil(t * n) + 1`` of each. The documents of one such n-gram form a bucket:
 
-1. Star round: each bucket's members against its smallest key, after length and positional filters;
+1. Star round: each bucket's members against the one that stands in most buckets, after length and positional filters;
    each distinct pair is verified once, on whole sets, with a suffix filter ahead of the intersection.
 2. Cross round: the links found so far give components. In buckets that still hold several components,
    each member outside its leader's component is paired with the members of every other component
-   (length and positional filters again) and verified. Members of one component need no further pair,
+   (length and positional filters again, and bits that bound how far the sets differ) and verified. Members of one component need no further pair,
    so a group of k near copies costs about k verifications rather than k * k, and no link that would
    join two components is missed.
 
@@ -48,7 +48,7 @@ ENTRIES_PER_PARTITION = 750_000
 HOT_BUCKET = 200_000
 #: Partners that are verified against one copy of a set.
 PARTNERS_PER_GROUP = 1_000
-PROFILE = ["doc_id", "n", "key", "mark", "block", "counts"]
+PROFILE = ["doc_id", "n", "key", "mark", "b0", "b1", "b2", "b3", "block", "counts"]
 
 
 def required_overlap(a, b, percent: int):
@@ -67,6 +67,12 @@ def signature(sh: np.ndarray) -> bytes | None:
     return None if len(counts) and counts.max() > 255 else counts.astype(np.uint8).tobytes()
 
 
+def toggles(sh: np.ndarray) -> np.ndarray:
+    """256 bits as four longs, each toggled by every hash that falls on it: two sets differ in at least as many hashes as bits."""
+    bits = np.bincount((sh >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def overlap_bound(a: bytes, b: bytes) -> int:
     """No less than the intersection of the two sets with these signatures."""
     x, y = np.frombuffer(a, dtype=np.uint8).astype(np.int32), np.frombuffer(b, dtype=np.uint8).astype(np.int32)
@@ -113,11 +119,12 @@ def _profile(k: int):
                 held.clear()
 
         for batch in batches:
-            sizes, keys, marks = [], [], []
+            sizes, keys, marks, bits = [], [], [], []
             for text in batch.column(1):
                 sh = shingles(text.as_py(), k)
                 sizes.append(len(sh))
                 marks.append(signature(sh))
+                bits.append(toggles(sh))
                 keys.append(set_key(sh) if len(sh) else None)
                 held.append(sh)
                 size += len(sh)
@@ -126,14 +133,14 @@ def _profile(k: int):
                     size = 0
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), *[pa.array(b) for b in np.array(bits, dtype=np.int64).reshape(n, 4).T], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=PROFILE,
             )
         flush()
         blocks = [b for b in np.split(sketch, 1 << (SKETCH_BITS - BLOCK_BITS))]
         m = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())],
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())],
             names=PROFILE,
         )
 
@@ -185,7 +192,7 @@ def _prefixes(sketch, k: int, percent: int, hot: int):
 
 
 def _buckets(batches):
-    """All entries of a partition -> those of n-grams with several keys, with the bucket's smallest key."""
+    """All entries of a partition -> those of n-grams with several keys."""
     parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
     if not parts:
         return
@@ -200,12 +207,11 @@ def _buckets(batches):
     start[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
     first = np.flatnonzero(start)
     size = np.diff(np.append(first, len(gram)))
-    lead, size = np.repeat(first, size), np.repeat(size, size)
+    size = np.repeat(size, size)
     keep = np.flatnonzero((size > 1) | (salt > 0))
     for i in range(0, len(keep), 100_000):
         at = keep[i : i + 100_000]
-        to = lead[at]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[at], salt[at], key[at], n[at], pos[at], key[to], n[to], pos[to])], names=["gram", "salt", "key", "n", "pos", "lkey", "ln", "lpos"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (gram, salt, key, n, pos)], names=["gram", "salt", "key", "n", "pos"])
 
 
 def _may_link(n1: str, p1: str, n2: str, p2: str, percent: int):
@@ -336,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``doc_id, n_shingles, class_key, component_id``; see the module's text."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    profile = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_profile(k), "doc_id long, n long, key long, mark binary, block int, counts binary"), "op2-profile")
+    profile = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_profile(k), "doc_id long, n long, key long, mark binary, b0 long, b1 long, b2 long, b3 long, block int, counts binary"), "op2-profile")
     marked = profile.where("block is null").select("n", "key", "mark")
     rows = profile.where("block is null").select("doc_id", "n", "key")
 
@@ -349,13 +355,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts = max(shuffle_partitions(spark), -(-entries // ENTRIES_PER_PARTITION))
     entry = texts.mapInArrow(_prefixes(shared_sketch, k, percent, hot), "gram long, salt int, key long, n int, pos int")
-    buckets = cut(entry.repartition(parts, "gram", "salt").mapInArrow(_buckets, "gram long, salt int, key long, n int, pos int, lkey long, ln int, lpos int"), "op2-buckets")
+    buckets = cut(entry.repartition(parts, "gram", "salt").mapInArrow(_buckets, "gram long, salt int, key long, n int, pos int"), "op2-members")
+    release_shuffles(spark)
+    # the member that stands in most buckets leads: in a group of near copies that is the one nearest to all
+    load = buckets.groupBy("key").agg(F.count("*").alias("m"))
+    lead = buckets.join(load, "key").groupBy("gram", "salt").agg(F.max(F.struct("m", "key", "n", "pos")).alias("t"))
+    lead = lead.select("gram", "salt", F.col("t.key").alias("lkey"), F.col("t.n").alias("ln"), F.col("t.pos").alias("lpos"), F.col("t.m").alias("lm"))
+    members = buckets
+    buckets = cut(members.join(lead, ["gram", "salt"]), "op2-buckets")
+    drop_cut(members)
     release_shuffles(spark)
 
     near = _may_link("n", "pos", "ln", "lpos", percent)
     star = buckets.where("key <> lkey").where(near).select(F.least("key", "lkey").alias("u"), F.greatest("key", "lkey").alias("v"))
-    leaders = buckets.where("salt > 0").select("gram", "lkey", "ln", "lpos").distinct()
-    top = leaders.groupBy("gram").agg(F.min(F.struct("lkey", "ln", "lpos")).alias("t")).select("gram", F.col("t.lkey").alias("key"), F.col("t.ln").alias("n"), F.col("t.lpos").alias("pos"))
+    leaders = buckets.where("salt > 0").select("gram", "lkey", "ln", "lpos", "lm").distinct()
+    top = leaders.groupBy("gram").agg(F.max(F.struct("lm", "lkey", "ln", "lpos")).alias("t")).select("gram", F.col("t.lkey").alias("key"), F.col("t.ln").alias("n"), F.col("t.lpos").alias("pos"))
     second = leaders.join(top, "gram").where("key <> lkey").where(near).select(F.least("key", "lkey").alias("u"), F.greatest("key", "lkey").alias("v"))
     pairs = cut(star.unionByName(second).distinct(), "op2-pairs")
 
@@ -368,10 +382,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = comp.withColumnRenamed("node", "key")
     named = buckets.join(at, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     lead = at.select(F.col("key").alias("lkey"), F.col("component").alias("lc"))
-    named = cut(named.join(lead, "lkey", "left").withColumn("lcomp", F.coalesce("lc", "lkey")).drop("lc", "lkey", "ln", "lpos"), "op2-named")
+    named = cut(named.join(lead, "lkey", "left").withColumn("lcomp", F.coalesce("lc", "lkey")).drop("lc", "lkey", "ln", "lpos", "lm"), "op2-named")
     away = named.where("comp <> lcomp").unionByName(_salted_away(named)).distinct()
-    there = named.select("gram", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
-    cross = away.join(there, (away["gram"] == there["gram"]) & (F.col("comp") != F.col("comp2")) & _may_link("n", "pos", "n2", "pos2", percent))
+    # only n-grams that hold several components, with the bits that bound how far two sets differ
+    mixed = named.join(away.select("gram").distinct(), "gram", "left_semi")
+    bits = profile.where("key is not null").select("key", "b0", "b1", "b2", "b3").join(mixed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(*[F.first(b).alias(b) for b in ("b0", "b1", "b2", "b3")])
+    bits = cut(bits, "op2-bits")
+    away = away.select("gram", "key", "n", "pos", "comp").join(bits, "key")
+    there = mixed.join(bits, "key").select(F.col("gram").alias("gram2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), *[F.col(b).alias(f"{b}2") for b in ("b0", "b1", "b2", "b3")])
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in ("b1", "b2", "b3")), F.bit_count(F.col("b0").bitwiseXOR(F.col("b02"))))
+    both = F.col("n").cast("long") + F.col("n2")
+    alike = (both - differ) * (100 + percent) >= both * (2 * percent)
+    cross = away.join(there, (F.col("gram") == F.col("gram2")) & (F.col("comp") != F.col("comp2")) & alike & _may_link("n", "pos", "n2", "pos2", percent))
     cross = cross.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
     cross = cut(_bounded(cut(cross.join(pairs, ["u", "v"], "left_anti"), "op2-cross"), marked, percent), "op2-likely")
     release_shuffles(spark)
