@@ -60,6 +60,13 @@ def template_table(templates: dict[str, str], percent: int) -> list[dict]:
     return out
 
 
+def _telling(shingle: str) -> str:
+    """A pattern that every text with the shingle has and few others do: its longest word, or pair of words if that is short."""
+    words = shingle.split()
+    word = max(words, key=len)
+    return word if len(word) >= 8 else "[^a-z0-9]+".join(max(zip(words, words[1:]), key=lambda p: len(p[0] + p[1])))
+
+
 def _seeded(x: Column, j: Column) -> Column:
     return F.xxhash64(x, j)
 
@@ -76,16 +83,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     rows = [(t["name"], t["shingles"], t["anchors"], t["stride"], t["window"]) for t in table]
     known = spark.createDataFrame(rows, "license string, grams array<string>, anchors array<string>, stride int, width int")
     known = known.select("license", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"), F.transform("anchors", lambda g: F.xxhash64(g)).alias("anchors"), "stride", "width")
-    keys = sorted({max(a.split(), key=len) for t in table for a in t["anchors"]})
+    keys = sorted({_telling(a) for t in table for a in t["anchors"]})
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("(?i)" + "|".join(keys)))
     words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
-    named = named.select("doc_id", words.alias("words")).where(F.size("words") >= K)
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (K - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, F.lit(K)))))
+    named = named.select("doc_id", words.alias("words"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (K - 1), F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, F.lit(K)))))
     named = named.select("doc_id", grams.alias("text_grams"))
+    # coalesce: a condition that is null for nulls would be pushed below as a filter that makes the shingles again for each word
     # templates of one window width share their windows; a row for each width, whatever the corpus
     classes = known.groupBy("stride", "width").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    pairs = named.join(F.broadcast(classes), F.arrays_overlap("text_grams", "anchors"))
+    pairs = named.join(F.broadcast(classes), F.coalesce(F.arrays_overlap("text_grams", "anchors"), F.lit(False)))
     places = F.filter(F.sequence(F.lit(0), F.size("text_grams") - 1), lambda i: F.array_contains(F.col("anchors"), F.element_at("text_grams", i + 1)))
     first = lambda i: F.greatest(F.lit(0), F.ceil((i - F.col("width") + 1) / F.col("stride")).cast("int"))
     last = lambda i: F.floor(i / F.col("stride")).cast("int")
