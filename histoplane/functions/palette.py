@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import colorsys
 
-# Public qualitative palettes of nine and twelve colours.
+# A pair, and public qualitative palettes of nine and twelve colours.
+PAIR = ["#1F77B4", "#FF7F0E"]
 NINE = ["#E41A1C", "#377EB8", "#4DAF4A", "#984EA3", "#FF7F00", "#FFFF33", "#A65628", "#F781BF", "#999999"]
 TWELVE = ["#8DD3C7", "#FFFFB3", "#BEBADA", "#FB8072", "#80B1D3", "#FDB462", "#B3DE69", "#FCCDE5", "#D9D9D9", "#BC80BD", "#CCEBC5", "#FFED6F"]
 
+# Colours of cell types in plots.
+CELL_TYPES = [
+    "#E5D2DD", "#53A85F", "#F1BB72", "#F3B1A0", "#D6E7A3", "#57C3F3",
+    "#476D87", "#E95C59", "#E59CC4", "#AB3282", "#23452F", "#BD956A",
+    "#8C549C", "#585658", "#9FA3A8", "#E0D4CA", "#5F3D69", "#C5DEBA",
+    "#58A4C3", "#E4C755", "#F7F398", "#AA9A59", "#E63863", "#E39A35",
+    "#C1E6F3", "#6778AE", "#91D0BE", "#B53E2B", "#712820", "#DCC1DD",
+    "#CCE0F5", "#CCC9E6", "#625D9E", "#68A180", "#3A6963", "#968175",
+]
+
 
 def palette(n: int) -> list[str]:
     """n colours: a fixed pair, parts of the palettes, or evenly spaced hues."""
     if n <= 2:
-        return NINE[:n]
+        return PAIR[:n]
     if n <= 9:
         return NINE[:n]
     if n <= 12:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.stats import benjamini_hochberg, hypergeometric_p
 from .cells import require
 
-#: Databases asked for by species; fixed values, names of public collections.
+# Names of the databases asked for by default, by species.
 DEFAULT_DATABASES = {
-    "human": ["GO_Biological_Process_2023", "KEGG_2021_Human", "Reactome_2022"],
-    "mouse": ["GO_Biological_Process_2023", "KEGG_2019_Mouse", "WikiPathways_2019_Mouse"],
-    "rat": ["GO_Biological_Process_2023", "KEGG_2019_Mouse"],
+    "human": ["CORUM", "Reactome_2022", "KEGG_2021_Human", "GO_Biological_Process_2021", "GO_Molecular_Function_2021"],
+    "mouse": ["Mouse_Gene_Atlas", "Reactome_2022", "KEGG_2021_Mouse", "GO_Biological_Process_2021", "GO_Molecular_Function_2021"],
+    "rat": ["Reactome_2022", "KEGG_2021_Rat", "GO_Biological_Process_2021", "GO_Molecular_Function_2021"],
 }
 
 
