@@ -251,6 +251,39 @@ def test_license_scan(spark, docs, none):
     assert found[1, "GPL-3.0-or-later"].containment == 1.0 and 0.75 <= found[2, "MIT"].containment < 1
 
 
+def test_license_lines_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = {"Released under the MIT License": "MIT-line", "Licensed under the Apache License, Version 2.0": "Apache-2.0-line", "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0-short", "This work is licensed under the GNU General Public License, version 3": "GPL-3.0-line"}
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.text]
+    want = {(i, name) for i, text in texts for line, name in names.items() if line in text}
+    assert {i for i, _ in want} == {i for i, text in texts if re.search("(?i)(licensed|released) under", text)}
+    assert "CC-BY-NC-4.0-short" in {name for _, name in want}
+    assert {(r.doc_id, r.license) for r in licenses.scan(docs).collect()} == want
+
+
+def test_license_notices(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = licenses.TEMPLATES["BSD-clauses-1-2"]
+    rows = {
+        "Licensed under CC BY 4.0.": {"CC-BY-4.0-short"},
+        "Licensed under CC BY-SA 4.0.": {"CC-BY-SA-4.0-short"},
+        "Licensed under CC0 1.0.": {"CC0-1.0-short"},
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0-line"},
+        "To the extent possible under law, A. Name has waived all copyright and related or neighboring rights to This Work.": {"CC0-1.0"},
+        "This work is licensed under the GNU Affero General Public License, version 3.": {"AGPL-line"},
+        "This work is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-line"},
+        gnu.format("Affero"): {"AGPL", "GPL-3.0-or-later"},  # all but four of the GPL's 39 shingles
+        gnu.format("Lesser"): {"LGPL", "GPL-3.0-or-later"},
+        bsd: {"BSD-clauses-1-2"},
+        bsd + " 3. Neither the name of A. Name nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": {"BSD-clauses-1-2", "BSD-clause-3"},
+    }
+    docs = spark.createDataFrame([(i, f"some words before it {text} and some after it") for i, text in enumerate(rows)], "doc_id long, text string")
+    found = {i: set() for i in range(len(rows))}
+    for r in licenses.scan(docs).collect():
+        found[r.doc_id].add(r.license)
+    assert list(found.values()) == list(rows.values())
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op5_license_scan"])
 def test_sql(spark, duck, name):
     assert normal(queries.QUERIES[name](spark, DATA).toPandas()) == normal(duck.sql(queries.ORACLE_SQL[name]).df())
