@@ -407,13 +407,23 @@ def _(spark, d):
     return H.plot_sample(V.large_cells(spark, d), 1000)
 
 
-@_register("merge_protein", "SELECT c.cell_id::VARCHAR AS \"Cell_ID\", X, Y, celltype AS \"Neighborhood_Cluster\", p2, p3, celltype AS \"Spatial_Zone\" FROM c1 c LEFT JOIN (SELECT cell_id, max(value) FILTER (WHERE feature = 'prot2') AS p2, max(value) FILTER (WHERE feature = 'prot3') AS p3 FROM e1 WHERE cell_id % 2 = 0 GROUP BY 1) e USING (cell_id)")
-def _(spark, d):
+def _merge_protein(spark, d, expression):
     cl = V.small_cells(spark, d).select(F.concat(F.lit("Cell_"), F.col("cell_id").cast("string")).alias("Cell_ID"), "X", "Y", F.col("celltype").alias("Neighborhood_Cluster"))
-    wide = V.dense_expression(spark, d).where("cell_id % 2 = 0").groupBy(F.col("cell_id").alias("Cell_ID")).pivot("feature", ["prot2", "prot3"]).agg(F.max("value"))
+    wide = expression.groupBy(F.col("cell_id").alias("Cell_ID")).pivot("feature", ["prot2", "prot3"]).agg(F.max("value"))
     return X.merge_protein(cl, wide.withColumnRenamed("prot2", "p2").withColumnRenamed("prot3", "p3")).select("Cell_ID", "X", "Y", "Neighborhood_Cluster", "p2", "p3", "Spatial_Zone")
 
 
+@_register("merge_protein", "SELECT c.cell_id::VARCHAR AS \"Cell_ID\", X, Y, celltype AS \"Neighborhood_Cluster\", p2, p3, celltype AS \"Spatial_Zone\" FROM c1 c LEFT JOIN (SELECT cell_id, max(value) FILTER (WHERE feature = 'prot2') AS p2, max(value) FILTER (WHERE feature = 'prot3') AS p3 FROM e1 WHERE cell_id % 2 = 0 GROUP BY 1) e USING (cell_id)")
+def _(spark, d):
+    # as its SQL, on the expression of every other cell, so that half of the cells are unmatched; merge_protein_all takes all
+    return _merge_protein(spark, d, V.dense_expression(spark, d).where("cell_id % 2 = 0"))
+
+
+@_register("merge_protein_all", "SELECT c.cell_id::VARCHAR AS \"Cell_ID\", X, Y, celltype AS \"Neighborhood_Cluster\", p2, p3, celltype AS \"Spatial_Zone\" FROM c1 c LEFT JOIN (SELECT cell_id, max(value) FILTER (WHERE feature = 'prot2') AS p2, max(value) FILTER (WHERE feature = 'prot3') AS p3 FROM e1 GROUP BY 1) e USING (cell_id)")
+def _(spark, d):
+    return _merge_protein(spark, d, V.dense_expression(spark, d))
+
+
 @_register("de_welch_t_df", "SELECT cluster, feature, n, round(mean, 6) AS mean, round(rest_mean, 6) AS rest_mean, round(diff, 6) AS mean_diff, round(diff / sqrt(a + b), 6) AS t, round((a + b) * (a + b) / (a * a / (n - 1) + b * b / (m - 1)), 4) AS df FROM wel1")
 def _(spark, d):
     w = X.welch(X.cluster_moments(V.dense_expression(spark, d), V.small_cells(spark, d), "celltype"))

@@ -98,6 +98,12 @@ def test_window_size_can_stall(spark):
     assert W.optimal_window_size(table(spark, [(1, 1.0, 1.0, "t")])).mean_cells is None
 
 
+def test_merge_protein_unmatched(spark):
+    cells = spark.createDataFrame([("Cell_1", 1.0, 2.0, "A"), ("Cell_2", 3.0, 4.0, "B")], "Cell_ID string, X double, Y double, Neighborhood_Cluster string")
+    wide = spark.createDataFrame([("1", 0.5), ("9", 0.7)], "Cell_ID string, p2 double")
+    assert [tuple(r) for r in X.merge_protein(cells, wide).orderBy("Cell_ID").select("Cell_ID", "X", "Y", "p2", "Spatial_Zone").collect()] == [("1", 1.0, 2.0, 0.5, "A"), ("2", 3.0, 4.0, None, "B")]
+
+
 @pytest.mark.parametrize("n", [3, 4, 50, 600])
 def test_delaunay(n):
     xy = np.random.default_rng(n).uniform(0, 10, (n, 2))
