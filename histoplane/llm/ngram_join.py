@@ -11,7 +11,7 @@ among the first ``n - ceil(t * n) + 1`` of each. The documents of one such n-gra
    each member outside its leader's component is paired with the members of every other component
    (length and positional filters again, and bits that bound how far the sets differ) and verified. Members of one component need no further pair,
    so a group of k near copies costs about k verifications rather than k * k, and no link that would
-   join two components is missed.
+   join two components is missed. ``linked_pairs`` verifies these pairs too and returns every link.
 
 Texts with equal sets are one class from the start (``set_key``; 64-bit hashes throughout). Hot n-grams
 are split by a salt, with a second star round over the salted leaders. Nothing is capped or sampled.
@@ -423,6 +423,36 @@ def _salted_away(named: DataFrame) -> DataFrame:
     return named.where("salt > 0").join(split, "gram").where("comp <> a").select(named.columns)
 
 
+def linked_pairs(docs: DataFrame, text_col: str = "text", k: int = 5, percent: int = 75, hot: int = HOT_BUCKET) -> DataFrame:
+    """``u, v``, u < v: the class keys (``class_key`` of ``near_duplicates``) of every two different sets that are similar enough, once each.
+
+    Every pair of a bucket that passes the filters is verified, so a group of k near copies costs up to k * (k - 1) / 2
+    verifications, as many as it can have links. Rows of one class are links to each other and have no row here.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
+    profile = cut(texts.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_profile(k), "doc_id long, n long, key long, mark binary, b0 long, b1 long, b2 long, b3 long, block int, counts binary"), "op2-profile")
+    entries = profile.where("block is null").agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+    blocks = profile.where("block is not null").select("block", "counts").repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block")
+    for block, counts in blocks.mapInArrow(_add_blocks, "block int, counts binary").collect():  # a fixed number of fixed-size blocks
+        sketch[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(counts, dtype=np.uint32)
+    parts = max(shuffle_partitions(spark), -(-entries // ENTRIES_PER_PARTITION))
+    entry = texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch), k, percent, hot), "gram long, salt int, key long, n int, pos int")
+    members = cut(entry.repartition(parts, "gram", "salt").mapInArrow(_buckets, "gram long, salt int, key long, n int, pos int"), "op2-members")
+
+    # the salts of one n-gram are joined too
+    other = members.select(F.col("gram").alias("gram2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    pairs = members.join(other, (F.col("gram") == F.col("gram2")) & (F.col("key") < F.col("key2")) & _may_link("n", "pos", "n2", "pos2", percent))
+    pairs = cut(pairs.select(F.col("key").alias("u"), F.col("key2").alias("v")).distinct(), "op2-pairs")
+    likely = cut(_bounded(pairs, profile.where("block is null").select("n", "key", "mark"), percent), "op2-likely")
+    sets = _sets_of(likely, texts, k, False)
+    links = cut(_verified(likely, sets, percent), "op2-links")
+    for old in (profile, members, pairs, likely, sets):
+        drop_cut(old)
+    return links
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is the smallest of their component, with their own columns; blank texts all stay.
 

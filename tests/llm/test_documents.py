@@ -108,6 +108,26 @@ def test_join_random_groups(spark, hot):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_join_links(spark, docs, none, hot):
+    rnd = np.random.default_rng(5)
+    rows = []
+    for g in range(8):
+        text = [f"g{g}_{rnd.integers(60)}" for _ in range(int(rnd.integers(40, 120)))]
+        for _ in range(int(rnd.integers(4, 9))):
+            t = text[:]
+            for _ in range(int(rnd.integers(0, 3))):
+                t[int(rnd.integers(len(t)))] = f"e{rnd.integers(1000)}"
+            rows.append((len(rows), " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 1000))
+    sets = {r.doc_id: word_set(r.text) for r in df.collect()}
+    want = {frozenset((frozenset(a), frozenset(b))) for a in sets.values() for b in sets.values() if a != b and 100 * len(a & b) >= 75 * len(a | b) and a & b}
+    key = {r.class_key: frozenset(sets[r.doc_id]) for r in ngram_join.near_duplicates(df).where("class_key is not null").collect()}
+    got = ngram_join.linked_pairs(df, hot=hot).collect()
+    assert len(got) == len(want) > 20 and {frozenset((key[r.u], key[r.v])) for r in got} == want
+    assert ngram_join.linked_pairs(none).count() == 0
+
+
 def test_join_filters_never_lose_a_pair():
     rnd = np.random.default_rng(0)
     for _ in range(300):
