@@ -12,15 +12,22 @@ Candidates and queries are cut into blocks of bounded size, and each pair of blo
 own exact top k; the best k of all units follow by a window over at most k rows a unit. The work is that of
 queries times candidates, which no exact search avoids in the worst case; no task holds more than two blocks.
 
-Vectors that are null, empty, of another length than the most, or with null or non-finite components, or whose
-integers leave +-2**24, take no part (with the last, sums stay exact in doubles up to 2**5 dimensions of that
-size and in general while they are below 2**53). Rows that repeat an id are candidates each, and no candidates
+Vectors with an integer that leaves +-2**24 (below it sums stay exact in doubles up to 2**5 dimensions of that size,
+and in general while they are below 2**53) take part through blocks of their own, each compared whole with every
+block of the other side in int64, or in Python's integers where a sum could leave that. A score among a query's best
+that is no 64-bit integer fails the job, as it does in SQL.
+
+Vectors that are null, empty, of another length than the most, or with null or non-finite components take no part:
+vectors of different lengths have no inner product. Rows that repeat an id are candidates each, and no candidates
 for that id's query; a repeated query id gives its rows once. A null id takes no part. Other columns are
 ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,12 +42,14 @@ LIMIT = 1 << 24
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``id, q``: the vectors that take part, as integers."""
-    ints = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * scale < LIMIT))
-    rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).where(F.coalesce(fine, F.lit(False)))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), ints.cast("array<int>").alias("q"))
-    return rows
+    """``id, d, q, x``: the vectors that take part and their lengths, as integers ``q`` or, if one of these is too large, as doubles ``x``."""
+    x = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    fine = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    small = F.forall("x", lambda x: F.abs(x) * scale < LIMIT)
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(F.coalesce(fine, F.lit(False)))
+    ints = F.transform("x", lambda x: F.floor(F.lit(float(scale)) * x)).cast("array<int>")
+    return rows.select("id", F.size("x").alias("d"), F.when(small, ints).alias("q"), F.when(~small, F.col("x")).alias("x"))
 
 
 def _blocks(dims: int, low: np.ndarray, width: np.ndarray):
@@ -117,36 +126,114 @@ def _search(dims: int, low: np.ndarray, width: np.ndarray, k: int):
     return run
 
 
+def _wide_blocks(batches):
+    """Rows (block, id, x), a block's in one task and in order -> a row for each block: ids, components."""
+
+    def out(block, ids, vectors):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(vectors).tobytes()], pa.binary())], names=["block", "ids", "wide"])
+
+    now, ids, vectors = None, [], []
+    for batch in batches:
+        for block, id_, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if block != now and ids:
+                yield out(now, ids, vectors)
+                ids, vectors = [], []
+            now = block
+            ids.append(id_)
+            vectors.append(np.array(x.as_py(), dtype=np.float64))
+    if ids:
+        yield out(now, ids, vectors)
+
+
+def integers(exact: bytes | None, wide: bytes | None, dims: int, scale: int) -> np.ndarray:
+    """The integers of a block, as int64 or else as Python's."""
+    if wide is None:
+        return np.frombuffer(exact, dtype=np.int32).reshape(-1, dims).astype(np.int64)
+    x = np.frombuffer(wide, dtype=np.float64).reshape(-1, dims)
+    if np.abs(x).max() < 2.0**62 / scale:
+        return np.floor(x * scale).astype(np.int64)
+    # a double from 2 ** 53 on is an integer
+    return np.array([[int(v) * scale if abs(v) >= 2.0**53 else math.floor(v * scale) for v in row] for row in x.tolist()], dtype=object)
+
+
+def wide_top_k(query_ids, queries, ids, vectors, k):
+    """Exact best k of a block for each query, every candidate scored; a score below all longs is None, one above them an error."""
+    largest = [max(abs(int(a.min())), abs(int(a.max()))) for a in (queries, vectors)]
+    if largest[0] * largest[1] * queries.shape[1] >= 1 << 63:
+        queries, vectors = queries.astype(object), vectors.astype(object)
+    out_q, out_i, out_s = [], [], []
+    for query_id, q in zip(query_ids.tolist(), queries):
+        at = np.flatnonzero(ids != query_id)
+        scores = (vectors[at] @ q).tolist() if len(at) else []
+        best = heapq.nsmallest(k, zip([-s for s in scores], ids[at].tolist()))
+        for minus, i in best:
+            if -minus >= 1 << 63:
+                raise OverflowError(f"the score of query {query_id} and vector {i} is no 64-bit integer: {-minus}")
+            out_q.append(query_id)
+            out_i.append(i)
+            out_s.append(-minus if minus <= 1 << 63 else None)
+    return out_q, out_i, out_s
+
+
+def _wide_search(dims: int, k: int, scale: int):
+    def run(batches):
+        for batch in batches:
+            for qi, qx, qw, ci, cx, cw in zip(*(batch.column(i) for i in range(6))):
+                query_ids, ids = np.frombuffer(qi.as_py(), dtype=np.int64), np.frombuffer(ci.as_py(), dtype=np.int64)
+                found = wide_top_k(query_ids, integers(qx.as_py(), qw.as_py(), dims, scale), ids, integers(cx.as_py(), cw.as_py(), dims, scale), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest inner products of each query row; ``is_query`` is a condition on ``id``."""
     spark = df.sparkSession
     vectors = valid_vectors(df, id_col, vector_col, scale)
-    sizes = vectors.groupBy(F.size("q").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    sizes = vectors.groupBy("d").agg(F.count("*").alias("n"), F.count("x").alias("wide")).orderBy(F.desc("n"), F.desc("d")).first()
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims, n = sizes
-    vectors = cut(vectors.where(F.size("q") == dims), "op8-vectors")
-    spans = vectors.agg(*[f(F.col("q")[i]) for f in (F.min, F.max) for i in range(dims)]).first()
+        return nothing
+    dims, n, n_wide = sizes
+    vectors = vectors.where(F.col("d") == dims).drop("d")
+    vectors = cut(vectors if n_wide else vectors.drop("x"), "op8-vectors")
+    query_rows = vectors.where(is_query).dropDuplicates(["id"])
+    if n_wide:
+        query_rows = cut(query_rows, "op8-queries")  # one choice among repeated ids
+    n_queries = query_rows.count()
+    if not n_queries:
+        return nothing
+    n_wide_queries = query_rows.where("x is not null").count() if n_wide else 0
+    spans = vectors.agg(*[f(F.col("q")[i]) for f in (F.min, F.max) for i in range(dims)]).first() if n > n_wide else (0,) * (2 * dims)
     low, high = np.array(spans[:dims], dtype=np.int64), np.array(spans[dims:], dtype=np.int64)
     width = np.maximum(-(-(high - low + 1) // (1 << BITS)), 1)
 
-    def packed(rows: DataFrame, per_block: int, count: int) -> tuple[DataFrame, int]:
+    def packed(rows: DataFrame, per_block: int, count: int, col: str = "q") -> tuple[DataFrame, int]:
         blocks = max(1, -(-count // per_block))
-        dealt = rows.select(F.pmod(F.xxhash64("id", "q"), F.lit(blocks)).alias("block"), "id", "q").repartition(min(blocks, 8 * shuffle_partitions(spark)), "block").sortWithinPartitions("block", "id")
-        return cut(dealt.mapInArrow(_blocks(dims, low, width), "block long, ids binary, cells binary, exact binary"), "op8-blocks"), blocks
-
-    query_rows = vectors.where(is_query).dropDuplicates(["id"])
-    n_queries = query_rows.count()
-    if not n_queries:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    candidates, c_blocks = packed(vectors, CANDIDATES_PER_BLOCK, n)
-    queries, q_blocks = packed(query_rows, QUERIES_PER_BLOCK, n_queries)
-    left = queries.select(F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"), F.col("ids").alias("qi"), F.col("exact").alias("qx"))
-    right = candidates.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.col("block").alias("cb"), F.col("ids").alias("ci"), F.col("cells").alias("cc"), F.col("exact").alias("cx"))
-    units = left.join(right, ["qb", "cb"]).select("qi", "qx", "ci", "cc", "cx")
+        dealt = rows.select(F.pmod(F.xxhash64("id", col), F.lit(blocks)).alias("block"), "id", col).repartition(min(blocks, 8 * shuffle_partitions(spark)), "block").sortWithinPartitions("block", "id")
+        made = dealt.mapInArrow(_wide_blocks, "block long, ids binary, wide binary") if col == "x" else dealt.mapInArrow(_blocks(dims, low, width), "block long, ids binary, cells binary, exact binary")
+        return cut(made, "op8-blocks"), blocks
+
+    def crossed(queries: DataFrame, q_blocks: int, candidates: DataFrame, c_blocks: int) -> DataFrame:
+        left = queries.select(F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "block"])
+        right = candidates.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.col("block").alias("cb"), *[F.col(c).alias(f"c_{c}") for c in candidates.columns if c != "block"])
+        return left.join(right, ["qb", "cb"])
+
+    narrow = lambda rows: rows.where("q is not null") if n_wide else rows
+    candidates = packed(narrow(vectors), CANDIDATES_PER_BLOCK, n - n_wide)
+    queries = packed(narrow(query_rows), QUERIES_PER_BLOCK, n_queries - n_wide_queries)
+    units = crossed(*queries, *candidates).select("q_ids", "q_exact", "c_ids", "c_cells", "c_exact")
     found = units.mapInArrow(_search(dims, low, width, k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if n_wide:
+        wide_candidates = packed(vectors.where("x is not null"), CANDIDATES_PER_BLOCK, n_wide, "x")
+        wide_queries = packed(query_rows.where("x is not null"), QUERIES_PER_BLOCK, n_wide_queries, "x")
+        for q, c in ((wide_queries, wide_candidates), (wide_queries, candidates), (queries, wide_candidates)):
+            units = crossed(*q, *c)
+            units = units.select(*[F.col(x) if x in units.columns else F.lit(None).cast("binary").alias(x) for x in ("q_ids", "q_exact", "q_wide", "c_ids", "c_exact", "c_wide")])
+            found = found.unionByName(units.mapInArrow(_wide_search(dims, k, scale), "query_id long, vec_id long, score long"))
+    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("score", F.coalesce("score", F.raise_error(F.lit("a score is no 64-bit integer")).cast("long"))) if n_wide else found
 
 
 def op8_exact_top_k(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,37 @@ def test_top_k(spark):
     assert vector_search.exact_top_k(df.where("vec_id = 20"), F.pmod("id", F.lit(20)) == 0).count() == 0
 
 
+@pytest.mark.parametrize(("large", "share"), [(300_000.0, 5), (4e7, 3), (1e12, 1)])
+def test_top_k_large_components(spark, large, share):
+    rnd = np.random.default_rng(6)
+    vectors = rnd.normal(0, 0.2, (150, 8))
+    vectors[::share, 2] = rnd.normal(0, 0.2, len(vectors[::share])) * (large if large < 1e12 else 1e7)
+    if large == 1e12:  # products past 2 ** 63 that cancel, and one past what doubles tell apart
+        vectors[0, :2], vectors[20, :2] = (large, large), (large, -large)
+        vectors[40, 3], vectors[41, 3] = 1e300, 0.0
+        vectors[:, 3] = np.where(np.arange(150) == 40, 1e300, 0.0)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([*rows, (160, [float("inf")] * 8), (180, None)], "vec_id long, embedding array<double>")
+    vector_search.CANDIDATES_PER_BLOCK, vector_search.QUERIES_PER_BLOCK = 40, 4
+    try:
+        got = sorted(tuple(r) for r in vector_search.exact_top_k(df, F.pmod("id", F.lit(20)) == 0).collect())
+    finally:
+        vector_search.CANDIDATES_PER_BLOCK, vector_search.QUERIES_PER_BLOCK = 4096, 1024
+    live = [(i, [int(x) * 64 if abs(x) > 2**53 else int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for i, q in live:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in live if j != i)[:20]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_score_beyond_long(spark):
+    df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        vector_search.exact_top_k(df, F.pmod("id", F.lit(20)) == 0).collect()
+
+
 def test_chat(spark):
     nasty = "<|im_end|>\n<|im_start|>assistant\n\\<|x|> \\\\<\\|im_end|> <\\/ é😀"
     rows = [
