@@ -3,9 +3,11 @@
 A page becomes a tree (unclosed and stray tags as browsers treat them: void elements, implied ends of
 ``p``, ``li`` and the like, raw script and style). Parts that their tag, role, class, id or hidden state
 names as no article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) go
-first. For every remaining node the characters per tag, adjusted for links, give its density, and the
+first; but of elements that only a class or id names, those around the least deep articles (or ``main``) stay where
+every article stands in some, and on a page without articles those that hold more than half of its text. For every remaining node the characters per tag, adjusted for links, give its density, and the
 sum of its children's densities its rank. The node of largest sum leads: inside an ``article`` (or else
-``main``) element that whole element is the text; otherwise the smallest density on the path from that
+``main``) element that whole element is the text, with its sibling articles whose density reaches the least on the path from
+that node to the body; otherwise the smallest density on the path from that
 node to the body is the threshold, and of every node that reaches it the largest-sum subtree is text.
 
 White space, also after decoding references, becomes one space; block elements and ``br`` part words,
@@ -49,38 +51,43 @@ NAMED = re.compile(r"(?i)class|id\s*=|role|hidden|style")
 WORD = re.compile(r"[a-z0-9]+")
 
 
-def _no_article(tag: str, attributes: str) -> bool:
+def _no_article(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether tag, role or state tell that the element is no article, and whether its class or id does."""
     if tag in NO_ARTICLE:
-        return True
+        return True, False
     if tag in KEEP or not attributes or not NAMED.search(attributes):
-        return False
+        return False, False
+    named = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if not NO_ARTICLE_WORDS.isdisjoint(WORD.findall(value)):
-                return True
+            named = named or not NO_ARTICLE_WORDS.isdisjoint(WORD.findall(value))
         elif name == "role":
             if value in NO_ARTICLE_ROLES:
-                return True
+                return True, named
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, named
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 class _Page:
     """Nodes in document order (parents first), and the texts and breaks with the node each stands in."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out, self.link = ["body"], [-1], [False], [False]
+        self.tag, self.parent, self.out, self.named, self.link = ["body"], [-1], [False], [False], [False]
         self.parts: list[tuple[int, str | None]] = []
         self._parse(source)
+        if any(self.named):
+            self._drop_named()
 
     def _open(self, tag: str, attributes: str, at: int) -> int:
         self.tag.append(tag)
         self.parent.append(at)
-        self.out.append(self.out[at] or _no_article(tag, attributes))
+        out, named = (True, False) if self.out[at] else _no_article(tag, attributes)
+        self.out.append(out)
+        self.named.append(named and not out)
         self.link.append(self.link[at] or tag == "a")
         return len(self.tag) - 1
 
@@ -137,6 +144,26 @@ class _Page:
             if tag in BLOCK:
                 parts.append((stack[-1], None))
 
+    def _drop_named(self) -> None:
+        """Takes out the elements that class or id name as no article, but not wrappers of the article."""
+        n, parent, out = len(self.tag), self.parent, self.out
+        depth, has, chars = [0] * n, [False] * n, [0] * n
+        for i in range(1, n):
+            depth[i] = depth[parent[i]] + self.named[i]
+        articles = [i for i in range(n) if not out[i] and self.tag[i] in ("article", "main")]
+        for i in articles:
+            has[i] = True
+        for node, part in self.parts:
+            if part:
+                chars[node] += len(" ".join(part.split()))
+        for i in range(n - 1, 0, -1):
+            has[parent[i]] = has[parent[i]] or has[i]
+            chars[parent[i]] += chars[i]
+        least = min((depth[i] for i in articles), default=None)
+        for i in range(1, n):
+            wraps = 2 * chars[i] > chars[0] if least is None else has[i] and depth[i] <= least
+            out[i] = out[i] or out[parent[i]] or self.named[i] and not wraps
+
     def main_text(self) -> str:
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -176,13 +203,17 @@ class _Page:
                     break
             up = parent[up]
         marked = [False] * n
+        up, least = best, density[best]
+        while up >= 0:
+            least = min(least, density[up]) if density[up] else least
+            up = parent[up]
         if scope is not None:
             marked[scope] = True
+            if self.tag[scope] == "article":
+                for i in range(n):
+                    if parent[i] == parent[scope] and self.tag[i] == "article" and not out[i] and density[i] >= least > 0:
+                        marked[i] = True
         else:
-            up, least = best, density[best]
-            while up >= 0:
-                least = min(least, density[up]) if density[up] else least
-                up = parent[up]
             top = list(range(n))  # the largest-sum node of each subtree
             for i in range(n - 1, 0, -1):
                 p = parent[i]

@@ -38,6 +38,24 @@ def test_main_text(inner, want):
     assert html_text.main_text(PAGE % inner) == want
 
 
+ARTICLE = "<article><h1>Title</h1><p>Some text of the page here, not short at all, as articles are.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        (f'<div class="layout has-sidebar">{ARTICLE}<div class="sidebar">{"side " * 40}</div></div>', "Title Some text of the page here, not short at all, as articles are."),
+        (f'<div id="search-page"><div class="header-form"><main><p>Some text of the page here, not short at all, as articles are.</p></main></div></div>', "Some text of the page here, not short at all, as articles are."),
+        (f'<div class="has-sidebar">{ARTICLE}<div id="replies"><article>{"Reply. " * 60}</article></div></div>', "Title Some text of the page here, not short at all, as articles are."),
+        (f'{ARTICLE}<div class="related"><article>{"Another story. " * 60}</article></div>', "Title Some text of the page here, not short at all, as articles are."),
+        (f'<div class="page-with-ads"><p>{"Some text of the page here, not short at all, as articles are. " * 9}</p><div class="ads">Buy this</div></div>', " ".join(["Some text of the page here, not short at all, as articles are."] * 9)),
+        ("<div><article><p>First of the two articles, and not short.</p></article><article><p>Second of the two articles, a little longer.</p></article></div>", "First of the two articles, and not short. Second of the two articles, a little longer."),
+    ],
+)
+def test_main_text_in_wrappers(inner, want):
+    assert html_text.main_text(PAGE % inner) == want
+
+
 def test_main_text_odd():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == ""
     assert html_text.main_text("just &lt;text&gt;\n here") == "just <text> here"
