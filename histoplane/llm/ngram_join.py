@@ -31,8 +31,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, drop_cut, read_table, release_shuffles, shuffle_partitions
 from .components import connected_components
@@ -338,8 +339,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, hot: int = HOT_BUCKET) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, class_key, component_id``; see the module's text."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, hot: int = HOT_BUCKET, with_component: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, class_key, component_id``, and on demand ``component``, a class key of the component; see the module's text."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
     profile = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_profile(k), "doc_id long, n long, key long, mark binary, b0 long, b1 long, b2 long, b3 long, block int, counts binary"), "op2-profile")
@@ -410,11 +411,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = comp.withColumnRenamed("node", "key")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id")).join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named_classes = cut(classes.join(least, "component").select("key", "component_id"), "op2-classes")
+    extra = ["component"] if with_component else []
+    named_classes = cut(classes.join(least, "component").select("key", "component_id", *extra), "op2-classes")
     for old in (buckets, named, sets):
         drop_cut(old)
     with_class = rows.join(named_classes, "key", "left")
-    return with_class.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return with_class.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *extra)
 
 
 def _salted_away(named: DataFrame) -> DataFrame:
@@ -453,16 +455,41 @@ def linked_pairs(docs: DataFrame, text_col: str = "text", k: int = 5, percent: i
     return links
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _class_keys(k: int):
+    """Adds the class key of the text in the last column, in its place."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(text.as_py(), k) for text in batch.columns[-1]]
+            keys = pa.array([set_key(sh) if len(sh) else None for sh in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys], names=[*batch.schema.names[:-1], "__class"])
+
+    return run
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """The documents whose id is the smallest of their component, with their own columns; blank texts all stay.
 
-    Of rows that repeat a kept id, one stays. Rows without an id stay.
+    Rows that repeat an id are decided each by its own text: of those that share the component one class stays, and of its
+    rows that with the smallest text; equal blank texts of one id are one. Rows without an id stay.
     """
-    found = cut(near_duplicates(docs, id_col, text_col).where("doc_id is not null").select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("gone")), "op2-found")
-    repeated = found.where("not gone").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    found = near_duplicates(docs, id_col, text_col, k, with_component=True).where("doc_id is not null")
+    found = cut(found.select("doc_id", "class_key", "component", (F.col("component_id") < F.col("doc_id")).alias("gone")), "op2-found")
+    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
     gone = found.where("gone").select(F.col("doc_id").alias(id_col)).distinct()
+    if not repeated.take(1):
+        return docs.join(gone, id_col, "left_anti").select(docs.columns)
     once = docs.join(gone.unionByName(repeated), id_col, "left_anti").select(docs.columns)
-    return once.unionByName(docs.join(repeated, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+
+    stays = found.where("not gone").join(repeated.withColumnRenamed(id_col, "doc_id"), "doc_id", "left_semi").groupBy("doc_id", "component").agg(F.min("class_key").alias("class_key"))
+    stays = stays.select(F.col("doc_id").alias("__id"), F.col("class_key").alias("__stays"))
+    again = docs.join(repeated, id_col, "left_semi").select(*docs.columns, F.col(text_col).cast("binary").alias("__text"))
+    again = again.mapInArrow(_class_keys(k), StructType([*docs.schema.fields, StructField("__class", LongType())]))
+    again = again.join(stays, (F.col(id_col) == F.col("__id")) & F.col("__class").eqNullSafe(F.col("__stays"))).select(*docs.columns, "__class")
+    again = again.dropDuplicates([id_col, "__class", text_col])
+    smallest = Window.partitionBy(id_col, "__class").orderBy(text_col)
+    again = again.withColumn("__n", F.row_number().over(smallest)).where("__n = 1 or __class is null").select(docs.columns)
+    return once.unionByName(again)
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

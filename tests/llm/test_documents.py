@@ -128,6 +128,18 @@ def test_join_links(spark, docs, none, hot):
     assert ngram_join.linked_pairs(none).count() == 0
 
 
+def test_keep_one_with_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    near = lambda c: text(c) + " end"
+    rows = [(1, text("a")), (2, near("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("e")), (4, text("e")), (5, text("f")), (5, near("f"))]
+    rows += [(6, ""), (6, " "), (6, ""), (7, None), (7, text("g")), (8, text("h")), (9, near("h")), (9, near("a")), (None, text("a"))]
+    kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept if r.doc_id != 5)
+    want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("e")), (6, ""), (6, " "), (7, None), (7, text("g")), (8, text("h")), (None, text("a"))]
+    assert got == sorted((str(i), str(t)) for i, t in want)
+    assert [r.text in (text("f"), near("f")) for r in kept if r.doc_id == 5] == [True]
+
+
 def test_join_filters_never_lose_a_pair():
     rnd = np.random.default_rng(0)
     for _ in range(300):
