@@ -1,5 +1,6 @@
 """Hand-made cases and invariants."""
 
+import inspect
 import math
 
 import numpy as np
@@ -104,6 +105,17 @@ def test_merge_protein_unmatched(spark):
     assert [tuple(r) for r in X.merge_protein(cells, wide).orderBy("Cell_ID").select("Cell_ID", "X", "Y", "p2", "Spatial_Zone").collect()] == [("1", 1.0, 2.0, 0.5, "A"), ("2", 3.0, 4.0, None, "B")]
 
 
+def test_expression_clusters_on_all_components(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rnd.normal(0, 1, 2)] + [1000.0 * (i % 2)]) for i in range(50)]
+    found = {r.id: r.cluster for r in K.expression_clusters(spark.createDataFrame(rows, "cell_id long, vec array<double>"), k=6).collect()}
+    assert len(found) == 50 and not {found[i] for i in range(0, 50, 2)} & {found[i] for i in range(1, 50, 2)}
+
+
+def test_kmeans_starts():
+    assert inspect.signature(K.kmeans).parameters["seeds"].default == 25
+
+
 @pytest.mark.parametrize("n", [3, 4, 50, 600])
 def test_delaunay(n):
     xy = np.random.default_rng(n).uniform(0, 10, (n, 2))
