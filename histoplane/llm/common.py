@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
@@ -54,5 +57,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Partitions of an explicit shuffle of about ``size`` bytes: the session's number, more where one would hold over ``each`` bytes."""
+    return max(shuffle_partitions(spark), -(-int(size) // each))
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, without a job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def trim_memory() -> None:
+    """Gives what a worker has freed back to the system: workers are used again, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

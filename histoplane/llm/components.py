@@ -45,4 +45,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+    out._scratch_path = now._scratch_path  # for drop_cut
+    return out
