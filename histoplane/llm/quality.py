@@ -7,7 +7,7 @@ sample of labelled rows bounded by ``sample`` (the rows of smallest hash, read `
 (``2 ** bits`` floats) are sent to all tasks, which score every whole text as a sparse dot product.
 
 A null, empty or blank text has no features and scores by the intercept. A label that is null or not 0 or 1
-isn't learned from; a document with several labels is learned from with each; labels of unknown documents do
+isn't learned from; a document with several labels is learned from with each, of documents that share an id one; labels of unknown documents do
 nothing. Without a usable label every score is 0.5. Rows without an id are scored, and held out from nothing.
 Repeated rows are scored each; an empty table gives no rows.
 """
@@ -24,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, trim_memory
 
 BITS = 18
 SAMPLE = 4_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-6
-#: Words whose hashes a worker keeps.
-CACHE_WORDS = 400_000
+#: Bytes of words whose hashes a task keeps, and what a word takes besides its characters.
+CACHE_BYTES = 32_000_000
+ENTRY_BYTES = 190
 _M = np.uint64(0x9E3779B97F4A7C15)
 _X = np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(31)
@@ -55,6 +56,7 @@ class Features:
 
     def _reset(self):
         self.place: dict[str, int] = {}
+        self.held = 0
         self.words, self.shapes = np.empty(1024, dtype=np.uint64), np.empty(1024, dtype=np.uint64)
 
     def _add(self, new) -> None:
@@ -64,6 +66,7 @@ class Features:
             self.words, self.shapes = np.resize(self.words, size), np.resize(self.shapes, size)
         for w in new:
             i = place[w] = len(place)
+            self.held += ENTRY_BYTES + 2 * len(w)
             self.words[i] = xxhash.xxh3_64_intdigest(w)
             self.shapes[i] = xxhash.xxh3_64_intdigest(shape(w), seed=1)
 
@@ -71,7 +74,7 @@ class Features:
         words = text.split() if text else []
         if not words:
             return np.empty(0, dtype=np.int64)
-        if len(self.place) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self._reset()
         place = self.place
         new = {w for w in words if w not in place}
@@ -88,7 +91,7 @@ class Features:
         return ((h >> np.uint64(20)) & self.mask).astype(np.int64)
 
 
-def _train(bits: int):
+def _train(bits: int, epochs: int):
     def run(batches):
         n, z = np.zeros(1 << bits), np.zeros(1 << bits)
         bias_n = bias_z = 0.0
@@ -100,20 +103,20 @@ def _train(bits: int):
         def bias():
             return -bias_z / ((BETA + math.sqrt(bias_n)) / ALPHA)
 
-        for batch in batches:
-            for label, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, counts = np.unique(np.frombuffer(blob, dtype=np.int32), return_counts=True)
-                x = counts / max(counts.sum() / 4, 1)
-                w = weights(z[at], n[at])
-                p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x) + bias()))))
-                g = (p - label) * x
-                step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-                z[at] += g - step * w
-                n[at] += g * g
-                b, g0 = bias(), p - label
-                bias_z += g0 - (math.sqrt(bias_n + g0 * g0) - math.sqrt(bias_n)) / ALPHA * b
-                bias_n += g0 * g0
-                seen += 1
+        rows = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]  # as many as the sample at most
+        for label, blob in rows * epochs:
+            at, counts = np.unique(np.frombuffer(blob, dtype=np.int32), return_counts=True)
+            x = counts / max(counts.sum() / 4, 1)
+            w = weights(z[at], n[at])
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x) + bias()))))
+            g = (p - label) * x
+            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
+            z[at] += g - step * w
+            n[at] += g * g
+            b, g0 = bias(), p - label
+            bias_z += g0 - (math.sqrt(bias_n + g0 * g0) - math.sqrt(bias_n)) / ALPHA * b
+            bias_n += g0 * g0
+            seen += 1
         if seen:
             out = weights(z, n).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([bias()], pa.float64()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["bias", "weights"])
@@ -141,15 +144,16 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("turn", "label", "text")
     rows = texts.mapInArrow(_featurise(bits), "turn long, label int, features binary")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    one = rows.repartition(1).sortWithinPartitions("epoch", "turn", "label", "features").select("label", "features")
-    found = one.mapInArrow(_train(bits), "bias double, weights binary").first()
+    # one text for each chosen label, whatever ids repeat
+    rows = rows.groupBy("turn", "label").agg(F.min("features").alias("features"))
+    one = rows.repartition(1).sortWithinPartitions("turn", "label", "features").select("label", "features")
+    found = one.mapInArrow(_train(bits, epochs), "bias double, weights binary").first()
     if found is None:
         return 0.0, np.zeros(1 << bits, dtype=np.float32)
     return found["bias"], np.frombuffer(zlib.decompress(found["weights"]), dtype=np.float32)
 
 
-def _score(model, bits: int, at: int, names: list[str]):
+def _score(model, bits: int, at: int, keep: int, names: list[str]):
     def run(batches):
         bias, weights = model.value
         features = Features(bits)
@@ -159,7 +163,9 @@ def _score(model, bits: int, at: int, names: list[str]):
                 f = features.of(text.as_py())
                 x = float(weights[f].sum(dtype=np.float64)) * 4 / len(f) if len(f) else 0.0
                 scores.append(1 / (1 + math.exp(-max(-35.0, min(35.0, x + bias)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 1 :], pa.array(scores, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(scores, pa.float64())], names=names)
+        del features
+        trim_memory()
 
     return run
 
@@ -167,10 +173,11 @@ def _score(model, bits: int, at: int, names: list[str]):
 def score(docs: DataFrame, model: tuple[float, np.ndarray], text_col: str = "text", keep: list[str] | None = None, bits: int = BITS) -> DataFrame:
     """The columns ``keep`` (default all) and ``score``; a ``score`` of the input is replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    ahead = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    passed = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # then the text travels once
+    ahead = docs.select(*keep) if passed else docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*ahead.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())])
-    return ahead.mapInArrow(_score(shared, bits, len(keep), [*keep, "score"]), schema)
+    return ahead.mapInArrow(_score(shared, bits, keep.index(text_col) if passed else len(keep), len(keep), [*keep, "score"]), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
