@@ -4,7 +4,7 @@ A text becomes a flat numpy array of symbols (one for each character, after the
 cut into words where no piece of the vocabulary can reach across. In each round every word looks up the
 rank of all its neighbouring pairs, takes the smallest, and merges its leftmost occurrence, all words at
 once; merged symbols are compacted away and words without a pair leave. One merge a word and round gives
-exactly the library's order. Words are encoded once for each batch, and kept in a bounded cache. Words of
+exactly the library's order. Words are encoded once for each batch; short ones are kept in a cache of bounded bytes. Words of
 over ``LONG_WORD`` characters (text without spaces), where rounds would cost the square of their length,
 take the same merges from a heap. Characters without a piece become byte pieces.
 
@@ -17,6 +17,7 @@ columns pass through; an empty table gives no rows.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import re
 
@@ -26,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, trim_memory
 
-#: Characters of a word from which a heap replaces the rounds; words in the cache of a worker.
+#: Characters of a word from which a heap replaces the rounds; bytes that the cache of a worker takes, and characters of the longest word in it.
 LONG_WORD = 400
-CACHE_WORDS = 400_000
+CACHE_BYTES = 32_000_000
+CACHED_WORD = 64
+#: Bytes of a cached word besides its characters and ids: a place in the table and the heads of two objects.
+ENTRY_BYTES = 190
 #: Characters that one output batch holds at least.
 BATCH_CHARS = 2_000_000
 NO_PAIR = np.iinfo(np.int32).max
@@ -88,6 +92,8 @@ class PieceModel:
         lines = any("\n" in p for p in vocab)
         self.words = re.compile(r"(?s).+" if reach else r"(?s) *[^ ]+| +" if lines else r" *[^ \n]+| +|\n")
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
+        self.decimals = [b"%d," % i for i in range(size)]
 
     def _ids(self, symbols: list[int], text: str) -> bytes:
         """Symbols that are no piece (single characters) become the ids of their bytes."""
@@ -174,13 +180,20 @@ class PieceModel:
         split = [self.words.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
         cache = self.cache
         new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({w for words in split for w in words})
+        ids = {}
         for i in range(0, len(new), 50_000):
             some = new[i : i + 50_000]
-            cache.update(zip(some, self.merge_words(some)))
-        return [b"".join([cache[w] for w in words]) for words in split]
+            ids.update(zip(some, self.merge_words(some)))
+        out = [b"".join([ids[w] if w in ids else cache[w] for w in words]) for words in split]
+        for w, found in ids.items():
+            if len(w) <= CACHED_WORD:
+                size = ENTRY_BYTES + 2 * len(w) + len(found)
+                if self.cached + size > CACHE_BYTES:
+                    cache.clear()
+                    self.cached = 0
+                cache[w] = found
+                self.cached += size
+        return out
 
     def decode(self, ids) -> str:
         table = self.table
@@ -198,7 +211,37 @@ def load(path: str) -> PieceModel:
     return _models[path]
 
 
-def _encode_batches(path: str, at: int, names: list[str], decode: bool):
+#: What ``encode`` can add, by name.
+OUTPUTS = {
+    "ids": T.ArrayType(T.IntegerType()),
+    "decoded": T.StringType(),
+    "n_tokens": T.LongType(),
+    "ids_sha256": T.StringType(),
+    "decoded_sha256": T.StringType(),
+}
+
+
+def _outputs(model: PieceModel, ids: list[bytes], wanted: list[str]) -> list[pa.Array]:
+    flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+    found: dict[str, pa.Array] = {"n_tokens": pa.array(np.diff(offsets).astype(np.int64))}
+    if "ids" in wanted:
+        found["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    texts, digests, of_texts = [], [], []
+    for x in ids:
+        row = np.frombuffer(x, dtype=np.int32).tolist()
+        if "ids_sha256" in wanted:
+            digests.append(hashlib.sha256(b"".join([model.decimals[i] for i in row])[:-1]).hexdigest())
+        if "decoded" in wanted or "decoded_sha256" in wanted:
+            text = model.decode(row)
+            of_texts.append(hashlib.sha256(text.encode()).hexdigest())
+            if "decoded" in wanted:
+                texts.append(text)
+    found |= {"decoded": pa.array(texts, pa.string()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(of_texts, pa.string())}
+    return [found[name] for name in wanted]
+
+
+def _encode_batches(path: str, keep: int, names: list[str], wanted: list[str]):
     def run(batches):
         model = load(path)
         for batch in batches:
@@ -206,33 +249,26 @@ def _encode_batches(path: str, at: int, names: list[str], decode: bool):
             while i < batch.num_rows:
                 texts, held = [], 0
                 while i + len(texts) < batch.num_rows and held < BATCH_CHARS:
-                    texts.append(batch.column(at)[i + len(texts)].as_py())
+                    texts.append(batch.column(keep)[i + len(texts)].as_py())
                     held += len(texts[-1] or "")
-                ids = model.encode(texts)
-                flat = np.frombuffer(b"".join(ids), dtype=np.int32)
-                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-                columns = batch.slice(i, len(texts)).columns + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                if decode:
-                    all_ids = flat.tolist()
-                    columns.append(pa.array([model.decode(all_ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.string()))
+                columns = batch.slice(i, len(texts)).columns[:keep] + _outputs(model, model.encode(texts), wanted)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 i += len(texts)
+        trim_memory()
 
     return run
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, decode: bool = True) -> DataFrame:
-    """``df``'s columns ``keep`` (default all but the text), ``ids`` (array of int) and, if asked, ``decoded``.
+def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, decode: bool = True, outputs: list[str] | None = None) -> DataFrame:
+    """``df``'s columns ``keep`` (default all but the text), ``ids`` (array of int) and, if asked, ``decoded``; or the ``outputs`` named, of ``OUTPUTS``.
 
-    Clashing columns of the input of those two names are replaced.
+    Clashing columns of the input of those names are replaced. The text doesn't come back from the workers.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "decoded", text_col)]
+    wanted = outputs or (["ids", "decoded"] if decode else ["ids"])
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (*wanted, "ids", "decoded", text_col)]
     ahead = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    out = T.StructType([*ahead.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    names = [*keep, "__text", "ids"]
-    if decode:
-        out, names = T.StructType([*out.fields, T.StructField("decoded", T.StringType())]), [*names, "decoded"]
-    return ahead.mapInArrow(_encode_batches(model_path, len(keep), names, decode), out).drop("__text")
+    out = T.StructType([*ahead.schema.fields[:-1], *[T.StructField(name, OUTPUTS[name]) for name in wanted]])
+    return ahead.mapInArrow(_encode_batches(model_path, len(keep), [*keep, *wanted], wanted), out)
 
 
 def model_path() -> str:
@@ -241,11 +277,9 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def digests(encoded: DataFrame) -> list:
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+#: Number of ids and digests of ids and decoded text.
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    encoded = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
-    return encoded.select("doc_id", *digests(encoded))
+    return encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model_path(), outputs=DIGESTS)
