@@ -32,8 +32,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece_bpe.encode(docs.select("doc_id", "source", "text"), sentencepiece_bpe.model_path())
-    return encoded.select("doc_id", "source", *sentencepiece_bpe.digests(encoded), "ids")
+    return sentencepiece_bpe.encode(docs.select("doc_id", "source", "text"), sentencepiece_bpe.model_path(), outputs=[*sentencepiece_bpe.DIGESTS, "ids"])
 
 
 STAGES = [
