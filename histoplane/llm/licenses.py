@@ -10,8 +10,8 @@ probability 0.9998, at that of a whole copy (0.88 or more) with certainty for pr
 template is then matched by exact containment of its shingles in the window.
 
 The result has a row for each document row and template found: the largest containment over its windows and the
-first word (from 0) of the first such window. A null, empty or short text matches nothing; repeated rows of one id
-merge; a null id is an id; other columns are ignored; an empty table gives no rows.
+first word (from 0) of the first such window. A null, empty or short text matches nothing; rows that repeat an id or
+have none are documents of their own, with rows of their own; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -106,11 +106,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     known = known.select("license", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"), F.transform("anchors", lambda g: F.xxhash64(g)).alias("anchors"), "stride", "width")
     keys = sorted({_telling(a) for t in table for a in t["anchors"]})
 
+    # a number for each row: rows that share an id, or have none, are documents of their own
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("(?i)" + "|".join(keys)))
     words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
-    named = named.select("doc_id", words.alias("words"))
+    named = named.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc"), words.alias("words"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (K - 1), F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, F.lit(K)))))
-    named = named.select("doc_id", grams.alias("text_grams"))
+    named = named.select("doc", grams.alias("text_grams"))
     # coalesce: a condition that is null for nulls would be pushed below as a filter that makes the shingles again for each word
     # templates of one window width share their windows; a row for each width, whatever the corpus
     classes = known.groupBy("stride", "width").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
@@ -120,14 +121,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     last = lambda i: F.floor(i / F.col("stride")).cast("int")
     starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(first(i), last(i)))))
     windows = F.transform(starts, lambda s: F.struct((s * F.col("stride")).alias("first_word"), F.array_distinct(F.slice("text_grams", s * F.col("stride") + 1, F.col("width"))).alias("window")))
-    windows = pairs.select("doc_id", "width", F.explode(windows).alias("w")).select("doc_id", "width", "w.first_word", "w.window")
+    windows = pairs.select("doc", "width", F.explode(windows).alias("w")).select("doc", "width", "w.first_word", "w.window")
 
     template_bands = known.select("license", "width", "grams", F.posexplode(_bands(F.col("grams"))).alias("band", "value"))
-    banded = windows.select("doc_id", "width", "first_word", "window", F.posexplode(_bands(F.col("window"))).alias("band", "value"))
-    found = banded.join(F.broadcast(template_bands), ["width", "band", "value"]).select("doc_id", "first_word", "license", "window", "grams")
+    banded = windows.select("doc", "width", "first_word", "window", F.posexplode(_bands(F.col("window"))).alias("band", "value"))
+    found = banded.join(F.broadcast(template_bands), ["width", "band", "value"]).select("doc", "first_word", "license", "window", "grams")
     found = found.withColumn("containment", F.size(F.array_intersect("window", "grams")) / F.size("grams")).where(F.col("containment") * 100 >= percent)
-    best = found.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("at"))).alias("best"))
-    return best.select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.at")).cast("long").alias("first_word"))
+    best = found.groupBy("doc", "license").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("at"))).alias("best"))
+    return best.select("doc.doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.at")).cast("long").alias("first_word"))
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
