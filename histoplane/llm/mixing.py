@@ -6,7 +6,9 @@ fair binomial number of copies: ``rate = cap / (1 + exp(-lambda * size / scale))
 ``lambda`` for each source. The multipliers solve the convex dual; as a rate depends on source and size
 only, each Newton iteration is one aggregation of the (source, size) histogram, with all sources at once.
 Rates are rounded into copies by a hash of the row, and a source's remaining gap is closed by moving
-single copies in hash order until its words are as near the target as the next document allows.
+single copies in hash order until its words are as near the target as the next document allows. Rows equal in id,
+source and text are numbered within their group, part of the input by part, and their hashes moved on by equal steps, so a
+group of them takes its rate's share of copies, rounded once.
 
 Nulls and blanks: a null or blank text has size 0, adds nothing and takes part with rate 1 (its copies
 carry no words); a null source is a source of its own, last in order. A null id is an id like others.
@@ -102,14 +104,66 @@ def _running(rows: DataFrame, value: Column) -> DataFrame:
     totals = rows.groupBy("src", "run").agg(F.sum("value").alias("total"))
     earlier = Window.partitionBy("src").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("src").alias("s"), F.col("run").alias("r"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy("src", "run").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("src", "run").orderBy("u", "id", "size", "h", "part").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("value").over(inside))
     return rows.join(totals, rows["src"].eqNullSafe(totals["s"]) & (rows["run"] == totals["r"])).withColumn("upto", F.col("earlier") + F.col("inside")).drop("s", "r", "earlier", "inside", "run")
 
 
-def solve(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' sizes, and a row of parameters for each source."""
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), _size(text_col).alias("size")), "op1-sizes")
+ROW = ["id", "src", "size", "h"]
+
+
+def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
+    on = F.lit(True)
+    for c in cols:
+        on = on & left[c].eqNullSafe(right[f"{c}_2"])
+    return on
+
+
+def _repeats(sized: DataFrame) -> DataFrame:
+    """``id_2, ..., c``: the rows that stand in the table more than once, and how often."""
+    return sized.groupBy(*ROW).agg(F.count("*").alias("c")).where("c > 1").select(*[F.col(c).alias(f"{c}_2") for c in ROW], "c")
+
+
+def _parts(sized: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``row, part``: the number of each repeated row in its group, over the size of the group.
+
+    Rows are numbered within a part of the input (``row`` has it in its high bits), then over the parts, so no task holds a whole group.
+    """
+    rows = cut(sized.join(repeats, _same(sized, repeats, ROW)).select("row", *ROW, "c", F.shiftright("row", 33).alias("pid")), "op1-repeated")
+    inside = F.row_number().over(Window.partitionBy(*ROW, "pid").orderBy("row"))
+    counts = rows.groupBy(*ROW, "pid").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*ROW).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(*[F.col(c).alias(f"{c}_2") for c in [*ROW, "pid"]], "earlier")
+    rows = rows.withColumn("inside", inside)
+    return cut(rows.join(counts, _same(rows, counts, [*ROW, "pid"])).select("row", ((F.col("earlier") + F.col("inside") - 1) / F.col("c")).alias("part")), "op1-parts")
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).alias("id"), F.col(source_col).alias("src"), _size(text_col).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("h")]
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with ``__part`` (0 but for repeated rows), and ``id, src, size, h, part`` of each.
+
+    Only a table with repeated rows is written anew, with numbers for its rows.
+    """
+    cols = _read(docs, id_col, text_col, source_col)
+    sized = cut(docs.select(*cols), "op1-sizes")
+    repeats = cut(_repeats(sized), "op1-repeats")
+    if not repeats.take(1):
+        return docs.withColumn("__part", F.lit(0.0)), sized.withColumn("part", F.lit(0.0))
+    drop_cut(sized)
+    docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "op1-numbered")
+    sized = cut(docs.select(F.col("__row").alias("row"), *cols), "op1-sizes")
+    parts = _parts(sized, repeats)
+    sized = sized.join(parts, "row", "left").select(*ROW, F.coalesce("part", F.lit(0.0)).alias("part"))
+    named = parts.select(F.col("row").alias("__row"), F.col("part").alias("__part"))
+    docs = docs.join(named, "__row", "left").withColumn("__part", F.coalesce("__part", F.lit(0.0))).drop("__row")
+    return docs, cut(sized, "op1-sizes")
+
+
+def solve(sized: DataFrame, weights: tuple[float, ...], share: float, cap: int) -> DataFrame:
+    """A row of parameters for each source, from the rows of ``numbered``."""
     sources = cut(_sources(sized, weights, share, cap), "op1-sources")
     histogram = cut(sized.where("size > 0").groupBy("src", "size").agg(F.count("*").alias("n")), "op1-histogram")
     lam = _multipliers(histogram, sources, cap)
@@ -125,7 +179,7 @@ def solve(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
         until = upto.groupBy("src").agg(F.max("gap").alias("gap"), F.max(F.when(moved, F.col("u"))).alias("until")).select(F.col("src").alias("s"), F.struct("gap", F.coalesce("until", F.lit(-1.0)).alias("until")).alias("closing"))
         after = params.join(until, params["src"].eqNullSafe(until["s"])).withColumn("closings", F.array_append("closings", F.col("closing"))).select(params.columns)
         params = cut(after, "op1-params")
-    return sized, params
+    return params
 
 
 def _movable(gap: Column, cap: int) -> Column:
@@ -133,12 +187,12 @@ def _movable(gap: Column, cap: int) -> Column:
 
 
 def _with_copies(rows: DataFrame, params: DataFrame, cap: int) -> DataFrame:
-    """``rows`` (with id, src, size) and their sources' parameters, ``rate``, ``u`` and ``copies``: a function of the row and its source alone."""
+    """``rows`` (with id, src, size, h, part) and their sources' parameters, ``rate``, ``u`` and ``copies``: a function of the row and its source alone."""
     full = F.col("target") >= F.col("source_size") * cap
     rate = F.when(full, F.lit(float(cap))).when(F.col("lam").isNull(), F.lit(0.0)).otherwise(_rate(F.col("lam"), F.col("size").cast("double"), F.col("scale"), cap))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.round(rate, 9))
-    unit = F.pmod(F.xxhash64("id", "size", F.lit("mix")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    other = F.pmod(F.xxhash64("id", "size", F.lit("gap")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    drawn = lambda name: F.pmod(F.xxhash64("id", "size", "h", F.lit(name)), F.lit(1 << 53)) / F.lit(float(1 << 53)) + F.col("part")
+    unit, other = (drawn(name) - F.floor(drawn(name)) for name in ("mix", "gap"))
     named = params.withColumnRenamed("src", "s")
     rows = rows.join(named, rows["src"].eqNullSafe(named["s"])).drop("s").withColumn("rate", rate).withColumn("u", other)
     rows = rows.withColumn("copies", F.least(F.floor(F.col("rate") + unit), F.lit(cap)).cast("long"))
@@ -159,17 +213,20 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``copies`` is between 0 and ``cap``; each source's sum of ``copies * size`` comes within about half the size of
     one document of its target, as far as there are documents no larger than the gap.
     """
-    sized, params = solve(docs, id_col, text_col, source_col, weights, share, cap)
+    _, sized = numbered(docs, id_col, text_col, source_col)
+    params = solve(sized, weights, share, cap)
     return _with_copies(sized, params, cap).select("id", "src", "size", "source_size", "target", "rate", "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
     """The documents themselves, each repeated as often as it has copies; the columns stay.
 
-    Copies follow from the row and the few numbers of its source, so texts are joined with those and not shuffled by id.
+    Copies follow from the row and the few numbers of its source, so texts are joined with those and not shuffled by id
+    (by the row's number, where rows repeat).
     """
-    _, params = solve(docs, id_col, text_col, source_col, weights, share, cap)
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("src"), _size(text_col).alias("size"))
+    whole, sized = numbered(docs, id_col, text_col, source_col)
+    params = solve(sized, weights, share, cap)
+    row = whole.select(F.struct(*docs.columns).alias("row"), *_read(whole, id_col, text_col, source_col), F.col("__part").alias("part"))
     out = _with_copies(row, params, cap).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 

@@ -188,6 +188,18 @@ def test_mixing(docs, none):
     assert mixing.mixed_copies(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("one", [lambda i: (None, "w " * 100, "a"), lambda i: (7 if i < 600 else i, "w " * 100, "a"), lambda i: (None, f"v{i} " + "w " * 99, "a")])
+def test_mixing_repeated_rows(spark, one):
+    rows = [one(i) for i in range(800)] + [(5000 + i, "x " * 50, "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mixed_copies(docs).toPandas()
+    assert len(out) == len(rows) and out["copies"].between(0, 2).all()
+    for _, g in out.groupby("src"):
+        assert abs((g["copies"] * g["size"]).sum() - g["target"].iloc[0]) <= 100
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.groupBy("source").count().toPandas().set_index("source")["count"].to_dict() == out.groupby("src")["copies"].sum().to_dict()
+
+
 def test_mixing_is_balanced(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, " ".join(["w"] * int(rnd.lognormal(4, 1))), f"s{i % 4}") for i in range(800)]
@@ -282,6 +294,13 @@ def test_license_scan(spark, docs, none):
     assert found[1, "GPL-3.0-or-later"].containment == 1.0 and 0.75 <= found[2, "MIT"].containment < 1
 
 
+def test_license_rows_without_or_with_repeated_ids(spark):
+    text = "Released under the MIT License"
+    rows = [(None, text), (None, text + " and more"), (3, text), (3, "other " + text), (3, text), (4, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.license) for r in got) == [("3", "MIT-line")] * 3 + [("None", "MIT-line")] * 2
+
+
 def test_license_lines_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names = {"Released under the MIT License": "MIT-line", "Licensed under the Apache License, Version 2.0": "Apache-2.0-line", "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0-short", "This work is licensed under the GNU General Public License, version 3": "GPL-3.0-line"}
