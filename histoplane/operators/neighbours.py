@@ -1,18 +1,25 @@
-"""Nearest neighbours and ranges on a grid of square tiles.
+"""Nearest neighbours in tiles that follow the data, and ranges on a grid.
 
-Queries are put into the nine tiles around them and meet candidates in an equi-join on tiles. A neighbour within
-one tile width is always among those, so k of them within that width are the k nearest; cells with fewer go to a
-round with tiles twice as wide. Ties are in order of (distance, id).
+Tiles of ``knn`` are the leaves of a k-d tree over a sample, so a dense place has small ones and a far outlier changes nothing.
+Every query meets the candidates of its own tile; if the k-th found is nearer than the tile's sides, it is done, for each group by
+itself. The others visit, in one more round, the tiles that their circle touches. Ties are in order of (distance, id).
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.storage import keep
+from .local import nearest
+
+#: Rows that the driver sees to place tiles; candidates of a tile and queries of a task that it aims at. Only the balance depends on them.
+SAMPLE = 100_000
+TILE_POINTS = 8_192
+TASK_QUERIES = 32_768
 
 #: Rows of a neighbour relation.
 COLUMNS = ["id", "nid", "d2", "rn"]
@@ -46,42 +53,222 @@ def range_join(p: DataFrame, q: DataFrame, reach: float, square: bool = False) -
     return left.join(right, ["gx", "gy"]).where((F.col("id") != F.col("nid")) & near).select("id", "nid", d2.alias("d2"), *more)
 
 
+class _Tree:
+    """Tiles of one group: cuts at medians of its sample; each leaf's rectangle, and into how many tasks its queries go."""
+
+    def __init__(self, sample: np.ndarray, count: int, queries: np.ndarray, asked: int):
+        self.dim, self.cut, self.left, self.right, self.rect, self.salts = [], [], [], [], [], []
+        self._grow(sample, queries, count / max(1, len(sample)), asked / max(1, len(queries)), (-np.inf, np.inf, -np.inf, np.inf))
+        self.dim, self.left, self.right, self.salts = (np.array(v, dtype=np.int64) for v in (self.dim, self.left, self.right, self.salts))
+        self.cut, self.rect = np.array(self.cut), np.array(self.rect)
+
+    def _grow(self, at: np.ndarray, queries: np.ndarray, each: float, each_query: float, rect: tuple) -> int:
+        """The node's number; leaves have the side -1. The depth is the logarithm of the sample."""
+        node = len(self.dim)
+        self.dim.append(-1)
+        self.cut.append(0.0)
+        self.left.append(-1)
+        self.right.append(-1)
+        self.rect.append(rect)
+        self.salts.append(max(1, int(np.ceil(len(queries) * each_query / TASK_QUERIES))))
+        if len(at) * each <= TILE_POINTS or len(at) < 8:
+            return node
+        for d in sorted((0, 1), key=lambda d: -np.ptp(at[:, d])):
+            cut = float(np.median(at[:, d]))
+            less = at[:, d] < cut
+            if not less.any():
+                continue
+            low, high = list(rect), list(rect)
+            low[2 * d + 1] = high[2 * d] = cut
+            below = queries[:, d] < cut
+            self.dim[node], self.cut[node] = d, cut
+            self.left[node] = self._grow(at[less], queries[below], each, each_query, tuple(low))
+            self.right[node] = self._grow(at[~less], queries[~below], each, each_query, tuple(high))
+            break
+        return node
+
+    def leaf(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), dtype=np.int64)
+        while (inner := self.dim[node] >= 0).any():
+            v = np.where(self.dim[node] == 0, x, y)
+            node = np.where(inner, np.where(v < self.cut[node], self.left[node], self.right[node]), node)
+        return node
+
+    def touched(self, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each query and leaf whose rectangle its circle may touch."""
+        queries, found, todo = [], [], [(0, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            if not len(at):
+                continue
+            if self.dim[node] < 0:
+                queries.append(at)
+                found.append(np.full(len(at), node))
+                continue
+            v = (x if self.dim[node] == 0 else y)[at]
+            todo += [(self.left[node], at[v - r[at] <= self.cut[node]]), (self.right[node], at[v + r[at] >= self.cut[node]])]
+        return np.concatenate(queries), np.concatenate(found)
+
+    def side(self, x: np.ndarray, y: np.ndarray, node: int) -> np.ndarray:
+        """Distance to the nearest side of a leaf's rectangle."""
+        x0, x1, y0, y1 = self.rect[node]
+        return np.minimum(np.minimum(x - x0, x1 - x), np.minimum(y - y0, y1 - y))
+
+
+def _hash_of(ids: pa.Array) -> np.ndarray:
+    v = ids.to_numpy(zero_copy_only=False)
+    v = np.array([hash_ for hash_ in map(_text_hash, v)], dtype=np.uint64) if v.dtype == object else v.astype(np.int64).view(np.uint64)
+    return (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+
+
+def _text_hash(text: str) -> int:
+    out = 1469598103934665603
+    for b in str(text).encode():
+        out = (out ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _dealt(trees, own: bool):
+    """Rows (id, x, y, group) with the tile: candidates in their own group's tree, once for each task of it; queries in every tree."""
+
+    def run(batches):
+        which = {g: i for i, (g, _) in enumerate(trees.value)}
+        for batch in batches:
+            x, y = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            of = np.array([which[g] for g in batch.column(3).to_pylist()], dtype=np.int64) if own else None
+            for i, (_, tree) in enumerate(trees.value):
+                at = np.flatnonzero(of == i) if own else np.arange(len(x))
+                if not len(at):
+                    continue
+                leaf = tree.leaf(x[at], y[at])
+                salts = tree.salts[leaf]
+                if own:
+                    salt = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
+                    at, leaf = np.repeat(at, salts), np.repeat(leaf, salts)
+                else:
+                    salt = (_hash_of(batch.column(0).take(pa.array(at))) % salts.astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, dtype=np.int32)), pa.array(leaf), pa.array(salt), *[batch.column(c).take(pa.array(at)) for c in range(3)]], names=["tree", "leaf", "salt", "id", "x", "y"])
+
+    return run
+
+
+def _arrays(left: pa.Table, right: pa.Table):
+    ids = [t.column("id").to_numpy() for t in (left, right)]
+    codes = ids
+    if ids[0].dtype == object or ids[1].dtype == object:
+        both = np.unique(np.concatenate(ids), return_inverse=True)[1]
+        codes = [both[: len(ids[0])], both[len(ids[0]) :]]
+    return codes, *[t.column(c).to_numpy() for t in (left, right) for c in ("x", "y")]
+
+
+def _at_home(trees, k: int, kind: pa.DataType):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["tree", "id", "x", "y", "nid", "d2", "rn", "r2", "open"]
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), kind, pa.float64(), pa.float64(), kind, pa.float64(), pa.int32(), pa.float64(), pa.bool_())], names=names)
+        (lc, rc), qx, qy, cx, cy = _arrays(left, right)
+        i, node = left.column("tree")[0].as_py(), left.column("leaf")[0].as_py()
+        side = trees.value[i][1].side(qx, qy, node)
+        q, c, d2 = nearest(qx, qy, lc, cx, cy, rc, k)
+        by = np.lexsort((rc[c], d2, q))
+        q, c, d2 = q[by], c[by], d2[by]
+        found = np.bincount(q, minlength=len(qx))
+        r2 = np.full(len(qx), np.inf)
+        last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.empty(0, np.int64)
+        r2[q[last]] = np.where(found[q[last]] >= k, d2[last], np.inf)
+        open_ = (side < np.inf) & (side * side * (1 - 1e-12) <= r2)
+        place = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        # a query that has found nothing goes on, or has no neighbour at all
+        none = np.flatnonzero((found == 0) & open_)
+        q = np.concatenate((q, none))
+        nid = right.column("id").combine_chunks().take(pa.array(np.concatenate((c, np.zeros(len(none), np.int64))), mask=np.arange(len(q)) >= len(c)))
+        return pa.table([pa.array(np.full(len(q), i, dtype=np.int32)), left.column("id").combine_chunks().take(pa.array(q)), pa.array(qx[q]), pa.array(qy[q]), nid, pa.array(np.concatenate((d2, np.zeros(len(none))))), pa.array(np.concatenate((place, np.zeros(len(none)))).astype(np.int32)), pa.array(r2[q]), pa.array(open_[q])], names=names)
+
+    return run
+
+
+def _visits(trees):
+    """Open queries (tree, id, x, y, r2) with every tile, but their own, that their circle may touch."""
+
+    def run(batches):
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            x, y, r2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            for i, (_, tree) in enumerate(trees.value):
+                at = np.flatnonzero(of == i)
+                if not len(at):
+                    continue
+                q, leaf = tree.touched(x[at], y[at], np.sqrt(r2[at]) * (1 + 1e-12))
+                away = leaf != tree.leaf(x[at], y[at])[q]
+                q, leaf = at[q[away]], leaf[away]
+                salt = (_hash_of(batch.column(1).take(pa.array(q))) % tree.salts[leaf].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), i, dtype=np.int32)), pa.array(leaf), pa.array(salt), *[batch.column(c).take(pa.array(q)) for c in (1, 2, 3, 4)]], names=["tree", "leaf", "salt", "id", "x", "y", "r2"])
+
+    return run
+
+
+def _abroad(k: int, kind: pa.DataType):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["tree", "id", "nid", "d2"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), kind, kind, pa.float64())], names=names)
+        (lc, rc), qx, qy, cx, cy = _arrays(left, right)
+        q, c, d2 = nearest(qx, qy, lc, cx, cy, rc, k, left.column("r2").to_numpy())
+        return pa.table([left.column("tree").combine_chunks().take(pa.array(q)), left.column("id").combine_chunks().take(pa.array(q)), right.column("id").combine_chunks().take(pa.array(c)), pa.array(d2)], names=names)
+
+    return run
+
+
+def _sample(p: DataFrame, n: int, *cols: str) -> list:
+    return p.select(*cols).sample(min(1.0, SAMPLE / n), 1).limit(2 * SAMPLE).collect() if n else []  # a bounded number of rows
+
+
 def knn(p: DataFrame, k: int, q: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """The k nearest of ``q`` (default ``p`` itself) for every row of ``p``, without its own id: ``id, nid, d2, rn``.
 
-    With ``by`` the k nearest of each of q's groups, and that column. k is clamped to what there is.
+    With ``by`` the k nearest of each of q's groups, and that column. k is clamped to what there is. Rows without finite coordinates take no part.
     """
-    q = p if q is None else q
-    n, x0, x1, y0, y1 = extent(q)
-    n_p, px0, px1, py0, py1 = extent(p)
-    group = [by] if by else []
-    empty = p.sparkSession.createDataFrame([], p.select("id", F.col("id").alias("nid"), F.lit(0.0).alias("d2"), F.lit(0).alias("rn")).schema)
-    if not n or not n_p:
-        return empty if not by else empty.withColumn(by, F.lit(None).cast(dict(q.dtypes)[by]))
-    x0, x1, y0, y1 = min(x0, px0), max(x1, px1), min(y0, py0), max(y1, py1)
-    groups = q.select(by).distinct().count() if by else 1
-    span = max(x1 - x0, y1 - y0, 1e-9)
-    area = max(x1 - x0, span * 1e-3) * max(y1 - y0, span * 1e-3)
-    tile = max(math.sqrt(area * k * groups / n), span * 1e-6)
-    done, todo = None, p.select("id", "x", "y")
-    wanted = q.select(by).distinct() if by else None
-    while True:
-        last = tile > span
-        first = Window.partitionBy("id", *group).orderBy("d2", "nid")
-        found = range_join(todo, q, 2 * tile if last else tile).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    finite = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in ("x", "y"))
+    q = (p if q is None else q).where(finite)
+    p = p.where(finite).select("id", "x", "y")
+    group = F.col(by) if by else F.lit(None).cast("string")
+    counts = {r[0]: r[1] for r in q.groupBy(group.alias("g")).count().collect()}  # groups are categories
+    kind = p.schema["id"].dataType
+    value = dict(q.dtypes)[by] if by else None
+    columns = [*COLUMNS, *([by] if by else [])]
+    if not counts:
+        empty = p.select("id", F.col("id").alias("nid"), F.lit(0.0).alias("d2"), F.lit(0).alias("rn")).where("false")
+        return empty.withColumn(by, F.lit(None).cast(value)) if by else empty
+    asked = p.count()
+    seen = _sample(q.select("x", "y", group.alias("g")), sum(counts.values()), "x", "y", "g")
+    queries = np.array([(r.x, r.y) for r in _sample(p, asked, "x", "y")]).reshape(-1, 2)
+    places: dict = {g: [] for g in counts}
+    for r in seen:
+        places[r.g].append((r.x, r.y))
+    spark = p.sparkSession
+    trees = spark.sparkContext.broadcast([(g, _Tree(np.array(places[g]).reshape(-1, 2), n, queries, asked)) for g, n in counts.items()])
+
+    arrow = to_arrow_type(kind)
+    ids = T.StructField("id", kind)
+    dealt = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("leaf", T.LongType()), T.StructField("salt", T.LongType()), ids, T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    tile = ["tree", "leaf", "salt"]
+    there = q.select("id", "x", "y", group.alias("g")).mapInArrow(_dealt(trees, True), dealt)
+    here = p.select("id", "x", "y").mapInArrow(_dealt(trees, False), dealt)
+    nid = T.StructField("nid", kind)
+    near = T.StructType([dealt["tree"], ids, dealt["x"], dealt["y"], nid, T.StructField("d2", T.DoubleType()), T.StructField("rn", T.IntegerType()), T.StructField("r2", T.DoubleType()), T.StructField("open", T.BooleanType())])
+    found = here.groupBy(*tile).cogroup(there.groupBy(*tile)).applyInArrow(_at_home(trees, k, arrow), near)
+    if any(len(tree.dim) > 1 for _, tree in trees.value):
         found = keep(found, "knn")
-        if last:
-            full = found
-            return (full if done is None else done.unionByName(full)).select(*COLUMNS[:3], "rn", *group)
-        enough = found.groupBy("id", *group).agg(F.count("*").alias("c")).where(F.col("c") >= k)
-        if by:
-            enough = enough.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") >= groups)
-        sure = found.join(enough.select("id"), "id", "left_semi")
-        done = sure if done is None else done.unionByName(sure)
-        todo = keep(todo.join(enough.select("id"), "id", "left_anti"), "knn-todo")
-        if todo.isEmpty():
-            return done.select(*COLUMNS[:3], "rn", *group)
-        tile *= 2
+        going = found.where("open").select("tree", "id", "x", "y", "r2").distinct().mapInArrow(_visits(trees), T.StructType([*dealt.fields, near["r2"]]))
+        more = going.groupBy(*tile).cogroup(there.groupBy(*tile)).applyInArrow(_abroad(k, arrow), T.StructType([dealt["tree"], ids, nid, near["d2"]]))
+        first = Window.partitionBy("tree", "id").orderBy("d2", "nid")
+        late = found.where("open AND nid IS NOT NULL").select("tree", "id", "nid", "d2").unionByName(more).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k)
+        found = found.where("NOT open").select("tree", *COLUMNS).unionByName(late.select("tree", *COLUMNS))
+    if by:
+        found = found.withColumn(by, F.element_at(F.array(*[F.lit(g).cast(value) for g in counts]), F.col("tree") + 1))
+    return found.select(*columns)
 
 
 def kth_distance(nn: DataFrame, rank: int) -> DataFrame:

@@ -6,10 +6,14 @@ import math
 import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.storage import keep
+from .local import nearest
 from .neighbours import extent, knn, kth_distance, points, range_join
 
 EPS = 2.220446049250313e-16
@@ -116,18 +120,34 @@ def edges_radius(cells: DataFrame, radius: float, k_cap: int | None = 50) -> Dat
     return _undirected(near)
 
 
+def _window_edges(k: int):
+    """Edges of one block's kNN graph, each pair once."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        ids, x, y = (cells.column(c).to_numpy() for c in ("id", "x", "y"))
+        code = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+        q, c, d2 = nearest(x, y, code, x, y, code, k)
+        a, b = np.minimum(ids[q], ids[c]), np.maximum(ids[q], ids[c])
+        _, first = np.unique(np.minimum(q, c) * len(ids) + np.maximum(q, c), return_index=True)
+        return pa.table([pa.array(a[first], cells.schema.field("id").type), pa.array(b[first], cells.schema.field("id").type), pa.array(d2[first])], names=["from", "to", "d2"])
+
+    return run
+
+
 def edges_window(cells: DataFrame, k: int, tile: float) -> DataFrame:
-    """kNN graph within the 3 x 3 block around every tile that has cells, for every cell of the block; the union of all blocks."""
-    p = points(cells).withColumn("gx", F.floor(F.col("x") / tile)).withColumn("gy", F.floor(F.col("y") / tile))
+    """kNN graph within the 3 x 3 block around every tile that has cells, for every cell of the block; the union of all blocks.
+
+    A block's cells meet in one task, in a k-d tree; it gives at most k rows a cell, not its pairs. Coordinates that are null take no part.
+    """
+    p = points(cells).where("x IS NOT NULL AND y IS NOT NULL").withColumn("gx", F.floor(F.col("x") / tile)).withColumn("gy", F.floor(F.col("y") / tile))
     centres = p.select(F.col("gx").alias("bx"), F.col("gy").alias("by")).distinct()
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     member = p.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
     member = member.select("id", "x", "y", (F.col("gx") + F.col("_i")).alias("bx"), (F.col("gy") + F.col("_j")).alias("by")).join(centres, ["bx", "by"], "left_semi")
-    other = member.select("bx", "by", F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
-    pairs = member.join(other, ["bx", "by"]).where("id <> nid").withColumn("d2", dx * dx + dy * dy)
-    first = Window.partitionBy("bx", "by", "id").orderBy("d2", "nid")
-    return _undirected(pairs.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k))
+    kind = p.schema["id"].dataType
+    schema = T.StructType([T.StructField("from", kind), T.StructField("to", kind), T.StructField("d2", T.DoubleType())])
+    found = member.groupBy("bx", "by").applyInArrow(_window_edges(k), schema)
+    return found.groupBy("from", "to").agg(F.sqrt(F.min("d2")).alias("dist"))
 
 
 def with_types(edges: DataFrame, cells: DataFrame, id_col: str = "cell_id", celltype_col: str = "celltype") -> DataFrame:

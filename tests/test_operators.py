@@ -63,6 +63,44 @@ def test_knn_matches_brute_force(spark):
     assert knn(points(df.where("cell_id < 1")), 3).count() == 0 and knn(points(df.where("false")), 3).count() == 0
 
 
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_knn_over_many_tiles(spark, monkeypatch, text_ids):
+    from histoplane.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TILE_POINTS", 24)
+    monkeypatch.setattr(neighbours, "TASK_QUERIES", 10)
+    rnd = np.random.default_rng(2)
+    xy = np.vstack((rnd.normal(0, 1, (200, 2)), rnd.normal(500, 0.1, (80, 2)), [[0.0, 0.0]] * 30, [[1e4, 1e4], [-1e5, 3.0]], rnd.integers(0, 4, (60, 2))))
+    ids = [f"c{i:04d}" if text_ids else i for i in range(len(xy))]
+    kinds = ["rare" if i in (3, 311) else "ab"[i % 2] for i in range(len(xy))]
+    df = spark.createDataFrame([(c, float(x), float(y), t) for c, (x, y), t in zip(ids, xy, kinds)] + [("none" if text_ids else 9999, None, 1.0, "a")], f"id {'string' if text_ids else 'long'}, x double, y double, t string")
+    got = {(r.id, r.rn): r.nid for r in knn(df, 5).collect()}
+    of_type = {(r.id, r.t, r.rn): r.nid for r in knn(df, 3, by="t").collect()}
+    want, want_type = {}, {}
+    for i in range(len(xy)):
+        d = ((xy - xy[i]) ** 2).sum(1)
+        order = [j for j in np.lexsort((np.arange(len(xy)), d)) if j != i]
+        want |= {(ids[i], r + 1): ids[j] for r, j in enumerate(order[:5])}
+        for t in ("a", "b", "rare"):
+            want_type |= {(ids[i], t, r + 1): ids[j] for r, j in enumerate([j for j in order if kinds[j] == t][:3])}
+    assert got == want and of_type == want_type
+
+
+def test_window_graph_matches_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    xy = np.vstack((rnd.random((120, 2)) * 60, rnd.random((700, 2)) * 2 + 30))
+    df = table(spark, [(i, float(x), float(y), "t") for i, (x, y) in enumerate(xy)])
+    got = {(r["from"], r["to"]): r["dist"] for r in W.edges_window(df, 4, 10.0).collect()}
+    tile, want = np.floor(xy / 10).astype(int), {}
+    for b in {tuple(t) for t in tile}:
+        at = np.flatnonzero((np.abs(tile - b) <= 1).all(1))
+        for i in at:
+            d = ((xy[at] - xy[i]) ** 2).sum(1)
+            for j in [j for j in np.lexsort((at, d)) if at[j] != i][:4]:
+                want[min(i, at[j]), max(i, at[j])] = d[j] ** 0.5
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+
+
 def test_network_invariants(spark):
     rnd = np.random.default_rng(2)
     df = table(spark, [(i, float(x), float(y), "AB"[i % 2]) for i, (x, y) in enumerate(rnd.uniform(0, 100, (80, 2)))])
