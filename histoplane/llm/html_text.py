@@ -1,14 +1,17 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree (unclosed and stray tags as browsers treat them: void elements, implied ends of
-``p``, ``li`` and the like, raw script and style). Parts that their tag, role, class, id or hidden state
-names as no article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) go
-first; but of elements that only a class or id names, those around the least deep articles (or ``main``) stay where
-every article stands in some, and on a page without articles those that hold more than half of its text. For every remaining node the characters per tag, adjusted for links, give its density, and the
-sum of its children's densities its rank. The node of largest sum leads: inside an ``article`` (or else
-``main``) element that whole element is the text, with its sibling articles whose density reaches the least on the path from
-that node to the body; otherwise the smallest density on the path from that
-node to the body is the threshold, and of every node that reaches it the largest-sum subtree is text.
+``p``, ``li`` and the like, raw script and style). Elements whose tag, role or hidden state says that they are no article
+(menus, headers, footers, forms, scripts) go first, and those that a telling class or id names as side matter (``sidebar``,
+``comments``); but those around the least deep articles (or ``main``) stay where every article stands in some, and on a page
+without articles those that hold more than half of its text. For every remaining node the characters per tag, adjusted for links,
+give its density, and the sum of its children's densities its rank. Other names are evidence within that score: a weaker word in a
+longer name (``related-work``, ``page-widget``) lowers the densities of the element and all inside by its share of the name, an
+``article`` or ``main`` raises its own rank.
+
+The subtree of largest rank is text; the smallest density on the path from it to the body is the threshold. Of other nodes that
+reach it, the largest-ranked subtrees are text too (beside an ``article`` or ``main`` only its sibling articles). Inside, an element
+with a weaker name goes if its lowered density doesn't reach half the threshold.
 
 White space, also after decoding references, becomes one space; block elements and ``br`` part words,
 inline elements don't. A null or empty page, or one without article text, gives the empty text; a page
@@ -40,7 +43,13 @@ NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search
 NO_ARTICLE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus reply replies respond pagination pager skip toolbar form search".split()
 )
-KEEP = frozenset(("html", "body", "article", "main"))
+#: Words that, as one part of a longer name, name an article's own matter as often.
+WEAK_WORDS = frozenset("related widget form search social header rail skip overlay notice notices".split())
+
+#: What a name takes from a density, and what an ``article`` and a ``main`` add to their rank; the share of the threshold that named parts inside must reach.
+NAMED_FACTOR = 0.25
+RANK_FACTOR = {"article": 3.0, "main": 2.0}
+INSIDE = 0.5
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^>]*\Z",
@@ -51,17 +60,28 @@ NAMED = re.compile(r"(?i)class|id\s*=|role|hidden|style")
 WORD = re.compile(r"[a-z0-9]+")
 
 
-def _no_article(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether tag, role or state tell that the element is no article, and whether its class or id does."""
+def _side_share(value: str) -> float:
+    """How far a class or id names side matter: 1 for a telling word in one of its names, the share of weaker ones in a name."""
+    share = 0.0
+    for name in value.split():
+        parts = WORD.findall(name)
+        found = [w for w in parts if w in NO_ARTICLE_WORDS]
+        if found:
+            share = max(share, 1.0 if any(w not in WEAK_WORDS for w in found) else len(found) / len(parts))
+    return share
+
+
+def _no_article(tag: str, attributes: str) -> tuple[bool, float]:
+    """Whether tag, role or state tell that the element is no article, and how far its class or id does."""
     if tag in NO_ARTICLE:
-        return True, False
-    if tag in KEEP or not attributes or not NAMED.search(attributes):
-        return False, False
-    named = False
+        return True, 0.0
+    if not attributes or not NAMED.search(attributes):
+        return False, 0.0
+    named = 0.0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            named = named or not NO_ARTICLE_WORDS.isdisjoint(WORD.findall(value))
+            named = max(named, _side_share(value))
         elif name == "role":
             if value in NO_ARTICLE_ROLES:
                 return True, named
@@ -76,18 +96,18 @@ class _Page:
     """Nodes in document order (parents first), and the texts and breaks with the node each stands in."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out, self.named, self.link = ["body"], [-1], [False], [False], [False]
+        self.tag, self.parent, self.out, self.named, self.link = ["body"], [-1], [False], [0.0], [False]
         self.parts: list[tuple[int, str | None]] = []
         self._parse(source)
-        if any(self.named):
+        if 1 in self.named:
             self._drop_named()
 
     def _open(self, tag: str, attributes: str, at: int) -> int:
         self.tag.append(tag)
         self.parent.append(at)
-        out, named = (True, False) if self.out[at] else _no_article(tag, attributes)
+        out, named = (True, 0.0) if self.out[at] else _no_article(tag, attributes)
         self.out.append(out)
-        self.named.append(named and not out)
+        self.named.append(0.0 if out else named)
         self.link.append(self.link[at] or tag == "a")
         return len(self.tag) - 1
 
@@ -100,14 +120,17 @@ class _Page:
                 t = source[a:b]
                 parts.append((stack[-1], html.unescape(t) if "&" in t else t))
 
+        at_depth: dict[str, list[int]] = {}  # where on the stack each element name is open
+
+        def deepest(names) -> int:
+            return max((at_depth[name][-1] for name in names if at_depth.get(name)), default=-1)
+
         def close(names, scope) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                name = tags[stack[i]]
-                if name in names:
-                    del stack[i:]
-                    return
-                if name in scope:
-                    return
+            depth = deepest(names)
+            if depth > deepest(scope):
+                for node in stack[depth:]:
+                    at_depth[tags[node]].pop()
+                del stack[depth:]
 
         while pos < end:
             m = TOKEN.search(source, pos)
@@ -140,16 +163,18 @@ class _Page:
                     m = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, pos)
                     pos = m.end() if m else end
                 elif tag not in VOID and not attributes.endswith("/"):
+                    at_depth.setdefault(tag, []).append(len(stack))
                     stack.append(node)
             if tag in BLOCK:
                 parts.append((stack[-1], None))
 
     def _drop_named(self) -> None:
-        """Takes out the elements that class or id name as no article, but not wrappers of the article."""
+        """Takes out the elements that a telling class or id names as side matter, but not wrappers of the article."""
         n, parent, out = len(self.tag), self.parent, self.out
         depth, has, chars = [0] * n, [False] * n, [0] * n
+        telling = [share == 1 for share in self.named]
         for i in range(1, n):
-            depth[i] = depth[parent[i]] + self.named[i]
+            depth[i] = depth[parent[i]] + telling[i]
         articles = [i for i in range(n) if not out[i] and self.tag[i] in ("article", "main")]
         for i in articles:
             has[i] = True
@@ -162,7 +187,7 @@ class _Page:
         least = min((depth[i] for i in articles), default=None)
         for i in range(1, n):
             wraps = 2 * chars[i] > chars[0] if least is None else has[i] and depth[i] <= least
-            out[i] = out[i] or out[parent[i]] or self.named[i] and not wraps
+            out[i] = out[i] or out[parent[i]] or telling[i] and not wraps
 
     def main_text(self) -> str:
         n = len(self.tag)
@@ -184,6 +209,9 @@ class _Page:
         if not chars[0]:
             return ""
         linked = link_chars[0] / chars[0]
+        factor, rank = [1.0] * n, [RANK_FACTOR.get(tag, 1.0) for tag in self.tag]
+        for i in range(1, n):
+            factor[i] = factor[parent[i]] * (NAMED_FACTOR ** self.named[i] if self.named[i] < 1 else 1.0)
         density, sums = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
             c = chars[i]
@@ -191,30 +219,22 @@ class _Page:
                 continue
             t, lc, lt = tags[i] or 1, link_chars[i] or 1, link_tags[i] or 1
             base = math.log(c / max(c - link_chars[i], 1) * link_chars[i] + linked * c + math.e)
-            density[i] = c / t * (math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1.0001 else math.log(max(c / lc * t / lt, 1.0)) + 1.0)
+            density[i] = factor[i] * c / t * (math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1.0001 else math.log(max(c / lc * t / lt, 1.0)) + 1.0)
+            sums[i] *= rank[i]
             if i:
                 sums[parent[i]] += density[i]
         best = max(range(n), key=lambda i: (sums[i], density[i], -i))
-        up, scope = best, None
-        while up >= 0:
-            if self.tag[up] == "article" or self.tag[up] == "main" and scope is None:
-                scope = up
-                if self.tag[up] == "article":
-                    break
-            up = parent[up]
-        marked = [False] * n
-        up, least = best, density[best]
+        marked, least, up = [False] * n, density[best], best
         while up >= 0:
             least = min(least, density[up]) if density[up] else least
             up = parent[up]
-        if scope is not None:
-            marked[scope] = True
-            if self.tag[scope] == "article":
-                for i in range(n):
-                    if parent[i] == parent[scope] and self.tag[i] == "article" and not out[i] and density[i] >= least > 0:
-                        marked[i] = True
+        marked[best] = True
+        if self.tag[best] in RANK_FACTOR:
+            for i in range(n):
+                if parent[i] == parent[best] and self.tag[i] == "article" and not out[i] and density[i] >= least > 0:
+                    marked[i] = True
         else:
-            top = list(range(n))  # the largest-sum node of each subtree
+            top = list(range(n))  # the largest-ranked node of each subtree
             for i in range(n - 1, 0, -1):
                 p = parent[i]
                 if sums[top[i]] > sums[top[p]]:
@@ -222,7 +242,10 @@ class _Page:
             for i in range(n):
                 if not out[i] and density[i] >= least > 0:
                     marked[top[i] if sums[top[i]] > 0 else i] = True
-        for i in range(1, n):
+        for i in range(1, n):  # named side matter inside what is text
+            if marked[parent[i]] and 0 < self.named[i] < 1 and density[i] < INSIDE * least:
+                out[i] = True
+            out[i] = out[i] or out[parent[i]]
             marked[i] = marked[i] or marked[parent[i]]
         words = "".join([" " if part is None else part for node, part in self.parts if marked[node] and not out[node]])
         return " ".join(words.split())

@@ -1,6 +1,8 @@
 """Pages, vectors, conversations and the pipeline."""
 
 import hashlib
+import math
+import time
 
 import numpy as np
 import pytest
@@ -56,6 +58,56 @@ def test_main_text_in_wrappers(inner, want):
     assert html_text.main_text(PAGE % inner) == want
 
 
+PARAGRAPHS = "".join(f"<p>{'Words and more words of the text here. ' * 8}</p>" for _ in range(4))
+
+
+def brute_leader(page):
+    """The tag path of the node whose children's densities add up to most, from the definition, node by node."""
+    p = html_text._Page(page)
+    n = len(p.tag)
+    inside = lambda i, j: j == i or (p.parent[j] >= 0 and inside(i, p.parent[j]))
+    live = [i for i in range(n) if not p.out[i]]
+
+    def of(i):
+        below = [j for j in live if inside(i, j)]
+        chars = [(len(" ".join(t.split())), p.link[j]) for j, t in p.parts if t and j in below]
+        c, links = sum(x for x, _ in chars), sum(x for x, linked in chars if linked)
+        return c, links, len(below) - 1, sum(p.tag[j] == "a" for j in below if j != i)
+
+    c0, l0 = of(0)[:2]
+
+    def density(i):
+        c, links, tags, link_tags = of(i)
+        if not c:
+            return 0.0
+        inner = math.log(max(c / (links or 1) * (tags or 1) / (link_tags or 1), 1.0))
+        base = math.log(c / max(c - links, 1) * links + l0 / c0 * c + math.e)
+        return c / (tags or 1) * (inner / math.log(base) if base > 1.0001 else inner + 1.0)
+
+    rank = {i: html_text.RANK_FACTOR.get(p.tag[i], 1.0) * sum(density(j) for j in live if p.parent[j] == i) for i in live}
+    best = max(rank, key=lambda i: (rank[i], density(i), -i))
+    return " ".join("".join(" " if t is None else t for j, t in p.parts if inside(best, j) and not p.out[j]).split())
+
+
+@pytest.mark.parametrize("page", [f"<nav><a href=x>m</a></nav><article><h1>T</h1><p><b>One long bold line of text, and more.<br></article><div>some aside line</div>", f"<main>{PARAGRAPHS}<div><p>x <a href=y>link</a></p></div></main><div><a href=1>a</a><a href=2>b</a></div>", f"<body><article><h2>S</h2>{PARAGRAPHS}</article><div><ul><li><a href=1>one link</a><li><a href=2>two links</a></ul></div>"])
+def test_leader_by_definition(page):
+    assert html_text.main_text(page) == brute_leader(page) != ""
+
+
+def test_weaker_names_are_evidence():
+    text = " ".join(["Words and more words of the text here."] * 32)
+    assert html_text.main_text(f"<nav><a href=x>m</a></nav><div class='page-widget'><h1>T</h1>{PARAGRAPHS}</div>") == "T " + text
+    assert html_text.main_text(f"<article><h1>T</h1>{PARAGRAPHS}<div class='related-work'><h2>R</h2>{PARAGRAPHS}</div></article>") == f"T {text} R {text}"
+    assert html_text.main_text(f"<article><h1>T</h1>{PARAGRAPHS}<div class='related-links'><a href=1>A</a><a href=2>B</a></div></article>") == f"T {text}"
+
+
+def test_stray_ends_cost_little():
+    began = time.time()
+    assert html_text.main_text("<b>" * 50_000 + "x" + "</p>" * 50_000) == "x"
+    assert html_text.main_text("<b><table><tr><td>" + "<i>" * 50_000 + "y" + "</b>" * 50_000) == "y"
+    assert time.time() - began < 20
+
+
 def test_main_text_odd():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == ""
     assert html_text.main_text("just &lt;text&gt;\n here") == "just <text> here"
