@@ -126,4 +126,4 @@ def network_segments(cells: DataFrame, edges: DataFrame, mode: str = "all", top_
 
 
 def plot_sample(df: DataFrame, most: int = 10_000, seed: int = 42, id_col: str = "cell_id") -> DataFrame:
-    return df.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(most)
+    return df.orderBy(F.md5(F.concat_ws(",", id_col, F.lit(seed))), id_col).limit(most)

@@ -159,7 +159,8 @@ def with_types(edges: DataFrame, cells: DataFrame, id_col: str = "cell_id", cell
 
 def cap_edges(edges: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """A weighted sample without replacement, weight 1 / dist, the same on every run: the ``most`` smallest exponential keys."""
-    u = (F.pmod(F.xxhash64("from", "to", F.lit(seed)), F.lit(1 << 53)) + 1) / float(1 << 53)
+    head = F.left(F.md5(F.concat_ws(",", "from", "to", F.lit(seed))), F.lit(13))  # 52 bits that other engines give too
+    u = (F.conv(head, 16, 10).cast("long") + 1) / float(1 << 52)
     return edges.withColumn("_key", -F.log(u) * (F.col("dist") + EPS)).orderBy("_key", "from", "to").limit(most).drop("_key")
 
 

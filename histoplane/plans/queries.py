@@ -51,7 +51,10 @@ def _with_views(sql: str) -> str:
                     used.append(name)
 
     visit(sql)
-    return "WITH " + ", ".join(f"{n} AS ({parts[n]})" for n in used) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql) if used else sql
+    if not used:
+        return sql
+    start, own = ("WITH RECURSIVE ", sql.startswith("WITH RECURSIVE ")) if "WITH RECURSIVE " in sql else ("WITH ", sql.startswith("WITH "))
+    return start + ", ".join(f"{n} AS ({parts[n]})" for n in used) + (", " + sql[len(start) :] if own else " " + sql)
 
 
 _PAIRS = "SELECT a.cell_id AS id, b.cell_id AS nid, a.celltype AS t, b.celltype AS nt, (a.X-b.X)*(a.X-b.X)+(a.Y-b.Y)*(a.Y-b.Y) AS d2 FROM c1 a JOIN c1 b ON a.cell_id <> b.cell_id"
@@ -61,6 +64,18 @@ SHARED = {
     "edge1": "SELECT least(id,nid) AS a, greatest(id,nid) AS b, sqrt(min(d2)) AS dist FROM nn1 WHERE rn <= 6 GROUP BY 1, 2",
     "adj1": "SELECT a AS id, b AS nid FROM edge1 UNION SELECT b, a FROM edge1",
     "typ1": "SELECT DISTINCT celltype AS t FROM c1",
+    "met1": """WITH n AS (SELECT count(*) AS n, (max(X)-min(X)+1e-8)*(max(Y)-min(Y)+1e-8) AS area FROM c1), k AS (SELECT id, sqrt(max(d2)) AS d FROM nn1 WHERE rn <= 10 GROUP BY 1),
+    f AS (SELECT avg(sqrt(d2)) AS m FROM nn1 WHERE rn = 1), g AS (SELECT 1 - sum(c * c) / (sum(c) * sum(c)) AS g FROM (SELECT count(*)::DOUBLE AS c FROM c1 GROUP BY celltype)),
+    w AS (SELECT id, nt, (1 / (sqrt(d2) + 2.220446049250313e-16)) / sum(1 / (sqrt(d2) + 2.220446049250313e-16)) OVER (PARTITION BY id) AS w FROM nn1, n WHERE rn <= greatest(5, least(20, round_even(sqrt(n), 0)))),
+    p AS (SELECT celltype AS t, count(*) / any_value(n.n) AS p FROM c1, n GROUP BY 1), s AS (SELECT id, nt, sum(w) AS s FROM w GROUP BY 1, 2),
+    z AS (SELECT p.t, p.p, sum(((c1.celltype = p.t)::INT - p.p) * (coalesce(s.s, 0) - p.p)) / (any_value(n.n) * p.p * (1 - p.p)) AS i FROM c1 CROSS JOIN p CROSS JOIN n LEFT JOIN s ON s.id = c1.cell_id AND s.nt = p.t GROUP BY 1, 2)
+    SELECT (SELECT n FROM n) AS n, avg(d) AS mean_nn, stddev_samp(d) / avg(d) AS cv_nn, (SELECT m / (0.5 / sqrt(n / area)) FROM f, n) AS clark_evans, (SELECT g FROM g) AS gini_simpson, (SELECT sum(p * i) / sum(p) FROM z) AS moran, (SELECT area FROM n) AS area FROM k""",
+    # pairs with a circle through both that holds no other cell: the range of its centres on their bisector, in half distances
+    "ends1": """SELECT *, (ax + bx) / 2 AS mx, (ay + b_y) / 2 AS my, (bx - ax) / 2 AS hx, (b_y - ay) / 2 AS hy FROM
+      (SELECT a.cell_id AS a, b.cell_id AS b, a.X AS ax, a.Y AS ay, b.X AS bx, b.Y AS b_y FROM c1 a JOIN c1 b ON a.cell_id < b.cell_id)""",
+    "room1": "SELECT e.a, e.b, (q.Y - my) * hx - (q.X - mx) * hy AS side, ((q.X - mx) * (q.X - mx) + (q.Y - my) * (q.Y - my) - hx * hx - hy * hy) / 2 AS room FROM ends1 e JOIN c1 q ON q.cell_id <> e.a AND q.cell_id <> e.b",
+    "dl1": """SELECT e.*, lo, hi FROM ends1 e JOIN (SELECT a, b, coalesce(max(room / side) FILTER (WHERE side < 0), -1e300) AS lo, coalesce(min(room / side) FILTER (WHERE side > 0), 1e300) AS hi,
+      min(room) FILTER (WHERE side = 0) AS line FROM room1 GROUP BY 1, 2) USING (a, b) WHERE lo <= hi AND coalesce(line, 0) >= 0""",
     "comp2": "SELECT cluster, celltype, count(*) AS n, sum(count(*)) OVER (PARTITION BY cluster) AS total FROM c2 GROUP BY 1, 2",
     "qc2": "SELECT cell_id, sum(value) AS n_count, count(*) FILTER (WHERE value > 0) AS n_feature FROM e2 GROUP BY 1",
     "mom1": """SELECT o.*, (o.sx / o.n) AS mean, t.n - o.n AS m, (t.sx - o.sx) / (t.n - o.n) AS rest_mean FROM
@@ -170,9 +185,32 @@ def _(spark, d):
     return m.select("cluster", "feature", "n", _r("avg_log2fc"), _r("pct_1"), _r("pct_2"), "u")
 
 
-@_register("top_markers")
+def _top_markers_sql(values: str, threshold: float) -> str:
+    """Rank sums with ties, the normal tail by the power series of its error function."""
+    return f"""WITH j AS (SELECT v.*, celltype FROM ({values}) v JOIN c1 USING (cell_id)), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM j),
+    o AS (SELECT celltype AS cluster, feature, count(*) AS n, sum(rk) AS rs, count(*) FILTER (WHERE value > 0) AS p, sum(exp(value) - 1) AS s FROM r GROUP BY 1, 2),
+    i AS (SELECT feature, sum(c * c * c - c) AS tie FROM (SELECT feature, count(*)::DOUBLE AS c FROM r GROUP BY feature, value) GROUP BY 1),
+    a AS (SELECT feature, count(*) AS n, count(*) FILTER (WHERE value > 0) AS p, sum(exp(value) - 1) AS s FROM r GROUP BY 1),
+    f AS (SELECT cluster, feature, o.n::BIGINT AS n, (a.n - o.n)::BIGINT AS m, a.n::DOUBLE AS t, tie, log2(o.s / o.n + 1) - log2((a.s - o.s) / (a.n - o.n) + 1) AS fold, o.p / o.n AS pct_1, (a.p - o.p) / (a.n - o.n) AS pct_2, (rs - o.n * (o.n + 1) / 2.0)::DOUBLE AS u FROM o JOIN a USING (feature) JOIN i USING (feature)),
+    h AS (SELECT *, u - n * m / 2.0 AS shift, sqrt(n::DOUBLE * m / 12 * (t + 1 - tie / (t * (t - 1)))) AS sigma FROM f),
+    z AS (SELECT *, (shift - 0.5 * sign(shift)) / sigma AS z, abs(shift - 0.5 * sign(shift)) / sigma / sqrt(2) AS x FROM h WHERE fold >= {threshold} AND greatest(pct_1, pct_2) >= 0.25),
+    e AS (SELECT *, CASE WHEN x > 6 THEN 0 WHEN x = 0 THEN 1 ELSE greatest(0, 1 - exp(-x * x) * list_sum(list_transform(range(200), lambda k: exp((2 * k + 1) * ln(x) - lgamma(k + 1.5))))) END AS p,
+      rank() OVER (PARTITION BY cluster ORDER BY fold DESC) AS place FROM z)
+    SELECT cluster, feature, n, m, round(fold, 6) AS avg_log2fc, round(pct_1, 6) AS pct_1, round(pct_2, 6) AS pct_2, u, round(z, 6) AS z, round(p, 6) AS p, round(least(1, p * (SELECT count(*) FROM a)), 5) AS adj_p, place::INTEGER AS place FROM e WHERE place <= 5"""
+
+
+def _rounded_markers(found):
+    return found.select("cluster", "feature", "n", "m", _r("avg_log2fc"), _r("pct_1"), _r("pct_2"), "u", _r("z"), _r("p"), _r("adj_p", 5), "place")
+
+
+@_register("top_markers", _top_markers_sql("SELECT * FROM e1", 0.0))
+def _(spark, d):
+    return _rounded_markers(X.top_markers(X.markers(V.dense_expression(spark, d), V.small_cells(spark, d), "celltype"), min_pct=0.25, threshold=0.0))
+
+
+@_register("top_markers_scaled", _top_markers_sql("SELECT cell_id, feature, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS value FROM e1 WINDOW w AS (PARTITION BY feature)", 0.25))
 def _(spark, d):
-    return X.top_markers(X.markers(V.dense_expression(spark, d), V.small_cells(spark, d), "celltype"), min_pct=0.25, threshold=0.0)
+    return _rounded_markers(X.top_markers(X.markers(X.scale_features(V.dense_expression(spark, d)), V.small_cells(spark, d), "celltype")))
 
 
 @_register(
@@ -216,10 +254,18 @@ def _(spark, d):
     return W.optimal_radius(V.small_cells(spark, d)).select(_r("recommended"), _r("min_dist"), _r("max_dist"))
 
 
-@_register("window_size")
+@_register(
+    "window_size",
+    """WITH RECURSIVE e AS (SELECT count(*) AS n, min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1 FROM c2 WHERE X IS NOT NULL AND Y IS NOT NULL),
+    s AS (SELECT 1 AS i, greatest(2, 2 * round_even(least(x1 - x0, y1 - y0) / 100 / 2, 0)) AS w FROM e UNION ALL
+      SELECT i + 1, greatest(2, 2 * round_even(w * (CASE WHEN mean < 30 THEN 1.1::DOUBLE ELSE 0.9::DOUBLE END) / 2, 0)) FROM (SELECT *, n / ((floor(x1 / w) - floor(x0 / w) + 1) * (floor(y1 / w) - floor(y0 / w) + 1)) AS mean FROM s, e) WHERE mean NOT BETWEEN 30 AND 50 AND i <= 100),
+    m AS (SELECT *, n / ((floor(x1 / w) - floor(x0 / w) + 1) * (floor(y1 / w) - floor(y0 / w) + 1)) AS mean FROM s, e),
+    l AS (SELECT max_by(w, i) AS w, max_by(mean, i) FILTER (WHERE i <= 100) AS mean, max(i) AS i, any_value(x1 - x0) AS xr, any_value(y1 - y0) AS yr FROM m)
+    SELECT w::INTEGER AS window_size, greatest(1, w::INTEGER // 2) AS sliding_step, round(mean, 6) AS mean_cells, round(xr, 6) AS x_range, round(yr, 6) AS y_range, mean BETWEEN 30 AND 50 AS converged FROM l""",
+)
 def _(spark, d):
     w = W.optimal_window_size(V.large_cells(spark, d))
-    return spark.createDataFrame([(w.window_size, w.sliding_step, w.mean_cells, w.x_range, w.y_range, w.converged)], "window_size int, sliding_step int, mean_cells double, x_range double, y_range double, converged boolean")
+    return spark.createDataFrame([(w.window_size, w.sliding_step, w.mean_cells and round(w.mean_cells, 6), round(w.x_range, 6), round(w.y_range, 6), w.converged)], "window_size int, sliding_step int, mean_cells double, x_range double, y_range double, converged boolean")
 
 
 @_register("celltype_distance_matrix", "WITH m AS (SELECT id, t, nt, min(d2) AS d2 FROM pair1 GROUP BY 1, 2, 3) SELECT t AS source, nt AS target, round(avg(sqrt(d2)), 6) AS mean_dist, count(*) AS n FROM m GROUP BY 1, 2")
@@ -279,14 +325,23 @@ def _(spark, d):
     return W.edges_window(V.large_cells(spark, d), 6, 60.0).withColumn("dist", F.round("dist", 6))
 
 
-@_register("network_auto")
+@_register(
+    "network_auto",
+    # one branch for each method that up to 50 000 cells can get
+    """WITH m AS (SELECT *, greatest(4, least(30, round_even(8 + 4 * log10(greatest(10, n)), 0))) AS k FROM met1),
+    c AS (SELECT *, CASE WHEN moran >= 0.4 THEN 'radius' WHEN cv_nn < 0.3 AND clark_evans BETWEEN 0.95 AND 1.05 THEN 'knn' WHEN cv_nn < 0.3 AND clark_evans BETWEEN 0.85 AND 1.15 THEN 'radius' ELSE 'delaunay' END AS method FROM m),
+    r AS (SELECT *, greatest(5, least(greatest(20, 3 * k), round_even(n / area * pi() * 4 * mean_nn * mean_nn, 0))) AS cap FROM c),
+    e AS (SELECT a, b, 2 * sqrt(hx * hx + hy * hy) AS dist FROM dl1, r WHERE method = 'delaunay' AND 2 * sqrt(hx * hx + hy * hy) <= 2 * mean_nn
+      UNION ALL SELECT least(id, nid), greatest(id, nid), sqrt(min(d2)) FROM nn1, r WHERE method = 'knn' AND rn <= k OR method = 'radius' AND rn <= cap AND d2 <= 4 * mean_nn * mean_nn GROUP BY 1, 2)
+    SELECT e.a AS "from", e.b AS "to", round(dist, 6) AS dist, x.celltype AS from_type, y.celltype AS to_type, x.celltype = y.celltype AS same_type FROM e JOIN c1 x ON x.cell_id = e.a JOIN c1 y ON y.cell_id = e.b""",
+)
 def _(spark, d):
-    return W.build_spatial_network(V.small_cells(spark, d)).edges
+    return W.build_spatial_network(V.small_cells(spark, d)).edges.withColumn("dist", F.round("dist", 6))
 
 
-@_register("edge_cap")
+@_register("edge_cap", "SELECT a AS \"from\", b AS \"to\", round(dist, 6) AS dist FROM edge1 ORDER BY -ln((('0x' || left(md5(concat(a, ',', b, ',42')), 13))::BIGINT + 1) / 4503599627370496) * (dist + 2.220446049250313e-16), 1, 2 LIMIT 200")
 def _(spark, d):
-    return W.cap_edges(_edges1(spark, d), 200)
+    return W.cap_edges(_edges1(spark, d), 200).select("from", "to", _r("dist"))
 
 
 @_register(
@@ -305,9 +360,9 @@ def _(spark, d):
     return G.edges_delaunay(V.small_cells(spark, d).orderBy("cell_id").limit(60)).select("from", "to", F.round("dist", 6).alias("dist"))
 
 
-@_register("edges_delaunay_all")
+@_register("edges_delaunay_all", "SELECT a AS \"from\", b AS \"to\", round(2 * sqrt(hx * hx + hy * hy), 6) AS dist FROM dl1")
 def _(spark, d):
-    return G.edges_delaunay(V.small_cells(spark, d))
+    return G.edges_delaunay(V.small_cells(spark, d)).withColumn("dist", F.round("dist", 6))
 
 
 @_register("voronoi_area", "SELECT round((max(X) - min(X)) * (max(Y) - min(Y)), 3) AS area FROM c1")
@@ -315,6 +370,23 @@ def _(spark, d):
     return G.voronoi_areas(G.voronoi(V.small_cells(spark, d))).agg(F.round(F.sum("area"), 3).alias("area"))
 
 
+@_register(
+    "voronoi_cells",
+    # triangles from a cell to its parts of bisectors and of the box's sides
+    """WITH x AS (SELECT min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1 FROM c1),
+    i AS (SELECT a, b, hx * hx + hy * hy AS hh, greatest(lo, least((mx - x0) / nullif(hy, 0), (mx - x1) / nullif(hy, 0)), least((y0 - my) / nullif(hx, 0), (y1 - my) / nullif(hx, 0))) AS lo,
+      least(hi, greatest((mx - x0) / nullif(hy, 0), (mx - x1) / nullif(hy, 0)), greatest((y0 - my) / nullif(hx, 0), (y1 - my) / nullif(hx, 0))) AS hi FROM dl1, x),
+    s AS (SELECT cell_id, X, Y, X - x0 AS far, x0 AS sx, y0 AS sy, 0 AS ex, y1 - y0 AS ey FROM c1, x UNION ALL SELECT cell_id, X, Y, x1 - X, x1, y0, 0, y1 - y0 FROM c1, x
+      UNION ALL SELECT cell_id, X, Y, Y - y0, x0, y0, x1 - x0, 0 FROM c1, x UNION ALL SELECT cell_id, X, Y, y1 - Y, x0, y1, x1 - x0, 0 FROM c1, x),
+    h AS (SELECT s.cell_id, far, sx, sy, ex + ey AS len, (o.X - s.X) * ex + (o.Y - s.Y) * ey AS slope, ((o.X - s.X) * ((o.X + s.X) / 2 - sx) + (o.Y - s.Y) * ((o.Y + s.Y) / 2 - sy)) AS room FROM s JOIN c1 o ON o.cell_id <> s.cell_id),
+    g AS (SELECT cell_id, far, len, greatest(0, max(CASE WHEN slope < 0 THEN room / slope END)) AS lo, least(1, min(CASE WHEN slope > 0 THEN room / slope END)) AS hi FROM h GROUP BY cell_id, far, len, sx, sy),
+    p AS (SELECT a AS cell_id, hh * (hi - lo) / 2 AS part FROM i WHERE hi > lo UNION ALL SELECT b, hh * (hi - lo) / 2 FROM i WHERE hi > lo UNION ALL SELECT cell_id, far * len * (hi - lo) / 2 FROM g WHERE hi > lo)
+    SELECT cell_id, round(sum(part), 4) AS area FROM p GROUP BY 1""",
+)
+def _(spark, d):
+    return G.voronoi_areas(G.voronoi(V.small_cells(spark, d))).select("cell_id", _r("area", 4))
+
+
 @_register("nbr_features_long", "WITH q AS (SELECT a.id, c1.celltype AS nbr_type, count(*) AS c FROM adj1 a JOIN c1 ON c1.cell_id = a.nid GROUP BY 1, 2) SELECT id, nbr_type, round(c / sum(c) OVER (PARTITION BY id), 6) AS prop FROM q")
 def _(spark, d):
     return H.neighbourhood_features_long(V.small_cells(spark, d), _edges1(spark, d)).select("id", "nbr_type", _r("prop"))
@@ -349,9 +421,9 @@ def _(spark, d):
     return H.purity(V.small_cells(spark, d), "knn", k=30).withColumn("purity", F.round("purity", 6))
 
 
-@_register("purity_delaunay")
+@_register("purity_delaunay", _purity_sql("SELECT d.id, celltype AS nt FROM (SELECT a AS id, b AS nid FROM dl1 UNION ALL SELECT b, a FROM dl1) d JOIN c1 ON c1.cell_id = d.nid", 3))
 def _(spark, d):
-    return H.purity(V.small_cells(spark, d), "delaunay", min_cells=3)
+    return H.purity(V.small_cells(spark, d), "delaunay", min_cells=3).withColumn("purity", F.round("purity", 6))
 
 
 @_register("purity_radius_large", "WITH p AS (SELECT a.cell_id AS id, b.celltype AS nt FROM c2 a JOIN c2 b ON a.cell_id <> b.cell_id AND abs(a.X-b.X) <= 40 AND abs(a.Y-b.Y) <= 40 AND (a.X-b.X)*(a.X-b.X)+(a.Y-b.Y)*(a.Y-b.Y) BETWEEN 1e-300 AND 1600), q AS (SELECT id, nt, count(*) AS c FROM p GROUP BY 1, 2), s AS (SELECT id, sum(c) AS n, max(c) AS m FROM q GROUP BY 1) SELECT c.cell_id, coalesce(n, 0)::BIGINT AS neighbours, round(CASE WHEN n >= 5 THEN m / n END, 6) AS purity FROM c2 c LEFT JOIN s ON s.id = c.cell_id")
@@ -402,7 +474,7 @@ def _(spark, d):
     return H.network_segments(V.small_cells(spark, d), _edges1(spark, d), "top", 100).select("from", "to", "x1", "y1", "x2", "y2", _r("strength"))
 
 
-@_register("plot_sample")
+@_register("plot_sample", "SELECT * FROM c2 ORDER BY md5(concat(cell_id, ',42')), cell_id LIMIT 1000")
 def _(spark, d):
     return H.plot_sample(V.large_cells(spark, d), 1000)
 
@@ -430,9 +502,18 @@ def _(spark, d):
     return w.select("cluster", "feature", "n", _r("mean"), _r("rest_mean"), _r("mean_diff"), _r("t"), _r("df", 4))
 
 
-@_register("differential_expression")
+@_register(
+    "differential_expression",
+    # the tail of t by the power series of the incomplete beta function at t * t / (df + t * t)
+    """WITH s AS (SELECT *, diff * diff / (a + b) AS t2, (a + b) * (a + b) / (a * a / (n - 1) + b * b / (m - 1)) AS df FROM wel1), y AS (SELECT *, t2 / (df + t2) AS y, df / 2 AS h FROM s),
+    p AS (SELECT *, CASE WHEN y = 0 THEN 1 ELSE greatest(0, 1 - 2 * list_sum(list_transform(range(2000), lambda k: exp((k + 0.5) * ln(y) + h * ln(1 - y) + lgamma(0.5 + h + k) - lgamma(h) - lgamma(0.5) + lgamma(1.5) - lgamma(1.5 + k))))) END AS p FROM y),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY p, feature) AS rk, count(*) OVER (PARTITION BY cluster) AS c FROM p),
+    q AS (SELECT *, least(1.0, min(p * c / rk) OVER (PARTITION BY cluster ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS adj FROM r)
+    SELECT feature AS "Protein", cluster AS "Cluster", round(mean, 6) AS "Mean_Target", round(rest_mean, 6) AS "Mean_Control", round(diff, 6) AS "MeanDiff", round(p, 6) AS p_value, round(adj, 6) AS adj_p_value, CASE WHEN adj >= 0.05 THEN 'NS' WHEN diff > 0 THEN 'Up' ELSE 'Down' END AS "Significance" FROM q""",
+)
 def _(spark, d):
-    return X.differential_expression(V.dense_expression(spark, d), V.small_cells(spark, d), "celltype")
+    found = X.differential_expression(V.dense_expression(spark, d), V.small_cells(spark, d), "celltype")
+    return found.select("Protein", "Cluster", *[_r(c) for c in ("Mean_Target", "Mean_Control", "MeanDiff", "p_value", "adj_p_value")], "Significance")
 
 
 @_register("bh_adjust", "SELECT cluster, feature, round(p, 6) AS p, round(adj, 9) AS adj FROM adjp")
@@ -475,9 +556,17 @@ def _(spark, d):
     return found.select("Cluster", "Database", "Term", "k", F.round(hypergeometric_p("k", "size", "query", "universe"), 6).alias("p_value"))
 
 
-@_register("enrich_terms")
+@_register(
+    "enrich_terms",
+    _OVER + """, j AS (SELECT *, unnest(range(greatest(k, query + size - universe), least(size, query) + 1)) AS x FROM a),
+    h AS (SELECT cluster, database, term, k, size, query, universe, least(1, sum(exp(lgamma(size+1)-lgamma(x+1)-lgamma(size-x+1) + lgamma(universe-size+1)-lgamma(query-x+1)-lgamma(universe-size-query+x+1) - lgamma(universe+1)+lgamma(query+1)+lgamma(universe-query+1)))) AS p FROM j GROUP BY ALL),
+    w AS (SELECT *, row_number() OVER (PARTITION BY cluster, database ORDER BY p, term) AS rk, count(*) OVER (PARTITION BY cluster, database) AS m FROM h),
+    v AS (SELECT *, least(1.0, min(p * m / rk) OVER (PARTITION BY cluster, database ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM w)
+    SELECT cluster AS "Cluster", database AS "Database", term AS "Term", k, size, query, universe, round(p, 6) AS p_value, round(fdr, 6) AS "FDR", concat(k, '/', size) AS "Overlap", size AS "GenesN" FROM v WHERE fdr < 0.3""",
+)
 def _(spark, d):
-    return N.cluster_enrichment(_as_diff(spark, d), V.gene_sets(spark, d), databases=["DB0", "DB1"], p_cutoff=0.3)
+    found = N.cluster_enrichment(_as_diff(spark, d), V.gene_sets(spark, d), databases=["DB0", "DB1"], p_cutoff=0.3)
+    return found.withColumn("p_value", F.round("p_value", 6)).withColumn("FDR", F.round("FDR", 6))
 
 
 @_register("enrich_top_terms", "WITH e AS (SELECT cluster, concat('term ', feature::VARCHAR, ' with a rather long name indeed (GO:', feature::VARCHAR, ')') AS term, p AS fdr FROM pv), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY fdr, term) AS place FROM e WHERE fdr < 0.05), l AS (SELECT *, regexp_replace(term, ' \\(.*', '') AS s FROM r WHERE place <= 5) SELECT cluster AS \"Cluster\", term AS \"Term\", CASE WHEN length(s) > 40 THEN concat(left(s, 37), '...') ELSE s END AS label, round(-log10(fdr), 6) AS \"log10FDR\", place::INTEGER AS place FROM l")
