@@ -15,10 +15,12 @@ _own_dir: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("executors on other machines need a shared folder: set spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="histoplane-")
@@ -58,12 +60,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def partitions_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
-    """Partitions of an explicit shuffle of about ``size`` bytes: the session's number, more where one would hold over ``each`` bytes."""
-    return max(shuffle_partitions(spark), -(-int(size) // each))
+    """Partitions of an explicit shuffle of about ``size`` bytes: the session's number, more where one would hold over ``each`` bytes, unless the size is an unknown one."""
+    return max(shuffle_partitions(spark), -(-int(size) // each) if size < 1 << 55 else 1)
 
 
 def table_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a table's size, without a job."""
+    """The optimizer's estimate of a table's size, without a job; exabytes where it has none."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_partitions
+from .common import partitions_for, read_table, table_bytes
 
 SHINGLE_BYTES = 16
 SCALE = 16
@@ -133,14 +133,16 @@ def _row(doc, following):
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the columns of ``OUT``."""
-    n = RANGES * shuffle_partitions(docs.sparkSession)
+    # an estimate of the files' size; texts take a few times as much once they are read
+    parts = partitions_for(docs.sparkSession, table_bytes(docs))
+    n = RANGES * parts
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     shares = [i / n for i in range(1, n)]
     found = ids.agg(F.max("id"), F.percentile_approx("id", shares, 10_000 if n <= 10_000 else n)).first()
     bounds = [] if found[0] is None else sorted({found[0], *found[1]}, reverse=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     dealt = rows.mapInArrow(_deal(bounds), "bucket long, tail int, doc_id long, text binary")
-    ordered = dealt.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return ordered.mapInArrow(_compare, OUT)
 
 
