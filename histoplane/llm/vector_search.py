@@ -8,9 +8,11 @@ largest lower bound, or the kth exact score so far, are out; the others' exact c
 their upper bounds until no unread one can reach the kth score. Ties go to the smaller id, so equal bounds are
 still read.
 
-Candidates and queries are cut into blocks of bounded size, and each pair of blocks is a task's unit with its
-own exact top k; the best k of all units follow by a window over at most k rows a unit. The work is that of
-queries times candidates, which no exact search avoids in the worst case; no task holds more than two blocks.
+Candidates and queries are cut into blocks bounded by bytes, and each pair of blocks is a task's unit with its
+own exact top k; within it tiles of candidates are scanned one after the other, and the kth score so far bounds the
+next. The best k of all units follow by a window over at most k rows a unit. A table that fits one block of queries is
+sent once, whatever its number of candidates. The work is that of queries times candidates, which no exact search
+avoids in the worst case; no task holds more than two blocks.
 
 Vectors with an integer that leaves +-2**24 (below it sums stay exact in doubles up to 2**5 dimensions of that size,
 and in general while they are below 2**53) take part through blocks of their own, each compared whole with every
@@ -36,8 +38,15 @@ from pyspark.sql import functions as F
 from .common import cut, read_table, shuffle_partitions
 
 BITS = 6
+#: Bytes of a block's exact components at most.
+CANDIDATE_BYTES = 16 << 20
+QUERY_BYTES = 8 << 20
+#: Rows of a block: candidates as many or more, where a table has enough for all cores; queries at most.
 CANDIDATES_PER_BLOCK = 4096
-QUERIES_PER_BLOCK = 1024
+QUERIES_PER_BLOCK = 1 << 15
+#: Queries and candidates whose bounds are held at once.
+QUERY_TILE = 512
+CANDIDATE_TILE = 4096
 LIMIT = 1 << 24
 
 
@@ -78,38 +87,46 @@ def _blocks(dims: int, low: np.ndarray, width: np.ndarray):
 
 
 def block_top_k(query_ids, queries, ids, cells, exact, low, width, k):
-    """Exact best k of a block for each query: arrays (query id, id, score)."""
+    """Exact best k of a block, its ids in order, for each query: arrays (query id, id, score)."""
+    out = []
+    for at in range(0, len(query_ids), QUERY_TILE):
+        own, q = query_ids[at : at + QUERY_TILE], queries[at : at + QUERY_TILE].astype(np.float64)
+        best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(own)
+        for start in range(0, len(ids), CANDIDATE_TILE):
+            tile = slice(start, start + CANDIDATE_TILE)
+            _scan_tile(own, q, ids[tile], cells[tile], exact[tile], low, width, k, best)
+        out += [(np.full(len(i), own[r]), i, s.astype(np.int64)) for r, (s, i) in enumerate(best)]
+    return [np.concatenate(x) if out else np.empty(0, dtype=np.int64) for x in (list(zip(*out)) or [()] * 3)]
+
+
+def _scan_tile(query_ids, q, ids, cells, exact, low, width, k, best):
+    """Betters each query's ``best`` (scores, ids) by a tile's candidates."""
     middle = (low + (cells.astype(np.float64) + 0.5) * width - 0.5).astype(np.float64)
-    half = np.broadcast_to((width - 1) / 2.0, middle.shape)
-    q = queries.astype(np.float64)
-    about, error = q @ middle.T, np.abs(q) @ half.T
+    about, error = q @ middle.T, (np.abs(q) @ ((width - 1) / 2.0))[:, None]
     upper, lower = about + error, about - error
     for_self = np.searchsorted(ids, query_ids)
     for_self_end = np.searchsorted(ids, query_ids, side="right")
-    out_q, out_i, out_s = [], [], []
+    n = len(ids)
     for r in range(len(query_ids)):
         up, down = upper[r], lower[r]
         if for_self[r] < for_self_end[r]:
             own = slice(for_self[r], for_self_end[r])
             up[own] = down[own] = -np.inf
-        n = len(up)
-        bound = np.partition(down, n - k)[n - k] if n > k else -np.inf
+        scores, found = best[r]
+        kth = scores[-1] if len(scores) == k else -np.inf  # ties with the kth score are still read
+        bound = max(kth, np.partition(down, n - k)[n - k] if n > k else -np.inf)
         left = np.flatnonzero((up >= bound) & (up > -np.inf))
         left = left[np.argsort(-up[left], kind="stable")]
-        scores = np.empty(len(left))
-        read, kth = 0, -np.inf
-        while read < len(left) and up[left[read]] >= kth:  # ties with the kth score are still read
+        read = 0
+        while read < len(left) and up[left[read]] >= kth:
             step = left[read : read + max(k, 32)]
-            scores[read : read + len(step)] = exact[step].astype(np.float64) @ q[r]
+            scores = np.concatenate((scores, exact[step].astype(np.float64) @ q[r]))
+            found = np.concatenate((found, ids[step]))
             read += len(step)
-            if read >= k:
-                kth = np.partition(scores[:read], read - k)[read - k]
-        left, scores = left[:read], scores[:read]
-        best = np.lexsort((ids[left], -scores))[:k]
-        out_q.append(np.full(len(best), query_ids[r]))
-        out_i.append(ids[left[best]])
-        out_s.append(scores[best].astype(np.int64))
-    return [np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (out_q, out_i, out_s)]
+            if len(scores) >= k:
+                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+        first = np.lexsort((found, -scores))[:k]
+        best[r] = scores[first], found[first]
 
 
 def _search(dims: int, low: np.ndarray, width: np.ndarray, k: int):
@@ -220,13 +237,15 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return left.join(right, ["qb", "cb"])
 
     narrow = lambda rows: rows.where("q is not null") if n_wide else rows
-    candidates = packed(narrow(vectors), CANDIDATES_PER_BLOCK, n - n_wide)
-    queries = packed(narrow(query_rows), QUERIES_PER_BLOCK, n_queries - n_wide_queries)
+    most, most_queries = max(1, CANDIDATE_BYTES // (4 * dims)), max(1, min(QUERIES_PER_BLOCK, QUERY_BYTES // (4 * dims)))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    candidates = packed(narrow(vectors), min(most, max(CANDIDATES_PER_BLOCK, -(-n // tasks))), n - n_wide)
+    queries = packed(narrow(query_rows), most_queries, n_queries - n_wide_queries)
     units = crossed(*queries, *candidates).select("q_ids", "q_exact", "c_ids", "c_cells", "c_exact")
     found = units.mapInArrow(_search(dims, low, width, k), "query_id long, vec_id long, score long")
     if n_wide:
-        wide_candidates = packed(vectors.where("x is not null"), CANDIDATES_PER_BLOCK, n_wide, "x")
-        wide_queries = packed(query_rows.where("x is not null"), QUERIES_PER_BLOCK, n_wide_queries, "x")
+        wide_candidates = packed(vectors.where("x is not null"), max(1, most // 2), n_wide, "x")
+        wide_queries = packed(query_rows.where("x is not null"), max(1, most_queries // 2), n_wide_queries, "x")
         for q, c in ((wide_queries, wide_candidates), (wide_queries, candidates), (queries, wide_candidates)):
             units = crossed(*q, *c)
             units = units.select(*[F.col(x) if x in units.columns else F.lit(None).cast("binary").alias(x) for x in ("q_ids", "q_exact", "q_wide", "c_ids", "c_exact", "c_wide")])

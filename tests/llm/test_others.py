@@ -116,6 +116,22 @@ def test_main_text_odd():
     assert html_text.main_text("<article><p>" + "word " * 200_000).count("word") == 200_000
 
 
+def test_block_of_many_tiles(monkeypatch):
+    monkeypatch.setattr(vector_search, "CANDIDATE_TILE", 16)
+    monkeypatch.setattr(vector_search, "QUERY_TILE", 3)
+    rnd = np.random.default_rng(5)
+    ids = np.sort(rnd.integers(0, 150, 200))  # some ids twice
+    exact = rnd.integers(-4, 5, (200, 6)).astype(np.int32)  # many ties
+    low, width = exact.min(0).astype(np.int64), np.full(6, 2, dtype=np.int64)
+    cells = ((exact - low) // width).astype(np.uint8)
+    asked = ids[::20]
+    for k in (1, 7, 300):
+        got = vector_search.block_top_k(asked, exact[::20], ids, cells, exact, low, width, k)
+        want = [(q, i, s) for q, x in zip(asked, exact[::20]) for s, i in sorted([(int(s), int(i)) for s, i in zip(exact @ x, ids) if i != q], key=lambda p: (-p[0], p[1]))[:k]]
+        assert list(zip(*[g.tolist() for g in got])) == want
+    assert [len(g) for g in vector_search.block_top_k(asked[:0], exact[:0], ids, cells, exact, low, width, 3)] == [0, 0, 0]
+
+
 def test_extract_table(spark):
     rows = [(1, "u", "<article><p>a</article>", "t"), (None, None, None, None), (1, "u", "<article><p>a</article>", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
