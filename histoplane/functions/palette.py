@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import colorsys
+import math
+from collections.abc import Iterable
 
 # A pair, and public qualitative palettes of nine and twelve colours.
 PAIR = ["#1F77B4", "#FF7F0E"]
@@ -21,11 +22,29 @@ CELL_TYPES = [
 
 
 def palette(n: int) -> list[str]:
-    """n colours: a fixed pair, parts of the palettes, or evenly spaced hues."""
+    """n colours: a fixed pair, parts of the palettes, or evenly spaced hues of one lightness and chroma."""
     if n <= 2:
         return PAIR[:n]
     if n <= 9:
         return NINE[:n]
     if n <= 12:
         return TWELVE[:n]
-    return ["#%02X%02X%02X" % tuple(round(255 * c) for c in colorsys.hls_to_rgb(i / n, 0.65, 0.7)) for i in range(n)]
+    return [hue(15 + 360 * i / n) for i in range(n)]
+
+
+def hue(degrees: float, chroma: float = 100, lightness: float = 65) -> str:
+    """A colour of the polar CIE-LUV space (white D65) in sRGB, parts outside its range cut off."""
+    at = math.radians(degrees)
+    y = ((lightness + 16) / 116) ** 3
+    u, v = chroma * math.cos(at) / (13 * lightness) + 0.1978398, chroma * math.sin(at) / (13 * lightness) + 0.4683363
+    x = 9 * y * u / (4 * v)
+    z = -x / 3 - 5 * y + 3 * y / v
+    linear = (3.240479 * x - 1.537150 * y - 0.498535 * z, -0.969256 * x + 1.875992 * y + 0.041556 * z, 0.055648 * x - 0.204043 * y + 1.057311 * z)
+    curved = (1.055 * c ** (1 / 2.4) - 0.055 if c > 0.00304 else 12.92 * c for c in linear)
+    return "#%02X%02X%02X" % tuple(int(255 * min(max(c, 0), 1) + 0.5) for c in curved)
+
+
+def type_colours(types: Iterable[str]) -> dict[str, str]:
+    """A colour for each cell type in order of its name; more types than there are colours get hues."""
+    names = sorted(set(types))
+    return dict(zip(names, CELL_TYPES if len(names) <= len(CELL_TYPES) else palette(len(names))))

@@ -166,7 +166,7 @@ def marker_distribution(expr: DataFrame, cells: DataFrame, features: list[str],
     return joined.groupBy("feature", "cluster").agg(F.count("value").alias("n"), F.min("value").alias("low"), quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.max("value").alias("high"))
 
 
-def marker_panel(cells: DataFrame, expr: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Coordinates and value of each cell and marker, for spatial or embedded plots."""
+def marker_panel(cells: DataFrame, expr: DataFrame, features: list[str] | None = None, id_col: str = "cell_id", x_col: str = "X", y_col: str = "Y") -> DataFrame:
+    """Coordinates and value of each cell and marker, all of them by default; the axes are places or those of a layout."""
     chosen = expr.where(F.col("feature").isin(features)) if features else expr
-    return cells.select("cell_id", "X", "Y").join(chosen, "cell_id")
+    return cells.select(F.col(id_col).alias("cell_id"), F.col(x_col).alias("X"), F.col(y_col).alias("Y")).join(chosen, "cell_id")

@@ -141,3 +141,17 @@ def voronoi_areas(polygons: DataFrame) -> DataFrame:
     n = F.size("r")
     cross = F.transform(F.sequence(F.lit(1), n), lambda i: at(i)["x"] * at(i % n + 1)["y"] - at(i)["y"] * at(i % n + 1)["x"])
     return g.select("cell_id", (F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2).alias("area"))
+
+
+def voronoi_plot(polygons: DataFrame, cells: DataFrame, category_col: str = "celltype", highlight: tuple[str, list] | None = None) -> DataFrame:
+    """Polygon vertices with their cell's category; with ``highlight`` (column, values) cells of other values are ``Background``."""
+    shown = F.lit(True) if highlight is None else F.coalesce(F.col(highlight[0]).isin(highlight[1]), F.lit(False))
+    category = F.when(shown, F.col(category_col).cast("string")).otherwise("Background")
+    return polygons.join(cells.select("cell_id", category.alias("category"), shown.alias("highlighted")), "cell_id")
+
+
+def plot_limits(polygons: DataFrame, margin: float = 0.05) -> DataFrame:
+    """One row: the extent of both axes, widened on either side by a share of its length."""
+    ends = polygons.agg(*[f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))])
+    wide = lambda c: margin * (F.col(f"{c}1") - F.col(f"{c}0"))
+    return ends.select(*[(F.col(f"{c}{i}") + (2 * i - 1) * wide(c)).alias(f"{c}_{n}") for c in ("x", "y") for i, n in enumerate(("low", "high"))])

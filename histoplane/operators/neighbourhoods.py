@@ -119,7 +119,7 @@ def network_segments(cells: DataFrame, edges: DataFrame, mode: str = "all", top_
     if mode == "top":
         return out.orderBy(F.desc("strength"), "from", "to").limit(top_n)
     if mode == "random":
-        return out.orderBy(F.xxhash64("from", "to", F.lit(seed)), "from", "to").limit(max_edges)
+        return out.orderBy(F.md5(F.concat_ws(",", "from", "to", F.lit(seed))), "from", "to").limit(max_edges)
     if mode != "all":
         raise ValueError(f"unknown mode {mode}")
     return out

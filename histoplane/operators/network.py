@@ -206,7 +206,7 @@ def optimal_radius(cells: DataFrame, sample_size: int = 1000, multiplier: float
         raise ValueError("at least two cells and one neighbour are needed")
     d = kth_distance(knn(p, k), k)
     main = d.agg((F.percentile("d", F.lit(0.9)) * multiplier).alias("recommended"), F.percentile("d", F.lit(0.9)).alias("q90"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist"))
-    some = p.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_size)
+    some = p.orderBy(F.md5(F.concat_ws(",", "id", F.lit(seed))), "id").limit(sample_size)
     a, b = some.alias("a"), some.alias("b")
     dist = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
     pairs = a.join(b, F.col("a.id") < F.col("b.id")).select(dist.alias("d")).where("d > 0").agg(F.avg("d").alias("mean_pairwise"), F.count("*").alias("pairs"))

@@ -254,6 +254,11 @@ def _(spark, d):
     return W.optimal_radius(V.small_cells(spark, d)).select(_r("recommended"), _r("min_dist"), _r("max_dist"))
 
 
+@_register("optimal_radius_pairwise", "WITH s AS (SELECT cell_id, X, Y FROM c1 WHERE X IS NOT NULL AND Y IS NOT NULL ORDER BY md5(concat(cell_id, ',123')), cell_id LIMIT 1000), p AS (SELECT sqrt((a.X-b.X)*(a.X-b.X)+(a.Y-b.Y)*(a.Y-b.Y)) AS d FROM s a JOIN s b ON a.cell_id < b.cell_id) SELECT round(avg(d), 6) AS mean_pairwise, count(*) AS pairs FROM p WHERE d > 0")
+def _(spark, d):
+    return W.optimal_radius(V.small_cells(spark, d)).select(_r("mean_pairwise"), "pairs")
+
+
 @_register(
     "window_size",
     """WITH RECURSIVE e AS (SELECT count(*) AS n, min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1 FROM c2 WHERE X IS NOT NULL AND Y IS NOT NULL),
@@ -273,6 +278,11 @@ def _(spark, d):
     return H.celltype_distances(V.small_cells(spark, d)).select("source", "target", _r("mean_dist"), "n")
 
 
+@_register("celltype_distance_lists", "SELECT t AS source, nt AS target, id, round(sqrt(min(d2)), 6) AS dist FROM pair1 GROUP BY 1, 2, 3")
+def _(spark, d):
+    return H.celltype_distance_lists(V.small_cells(spark, d)).withColumn("dist", F.round("dist", 6))
+
+
 @_register("distance_heatmap_data", "WITH m AS (SELECT id, t, nt, min(d2) AS d2 FROM pair1 GROUP BY 1, 2, 3), a AS (SELECT t AS source, nt AS target, avg(sqrt(d2)) AS v FROM m GROUP BY 1, 2), s AS (SELECT median(v) AS mid, quantile_cont(v, 0.2) AS q2, quantile_cont(v, 0.9) AS q9 FROM a) SELECT source, target, round(v, 6) AS mean_dist, v < mid AS below_median, round(q2, 6) AS q20, round(q9, 6) AS q90 FROM a, s")
 def _(spark, d):
     return H.distance_heat(H.celltype_distances(V.small_cells(spark, d))).select("source", "target", _r("mean_dist"), "below_median", F.round(F.col("stops")[1], 6).alias("q20"), F.round(F.col("stops")[5], 6).alias("q90"))
@@ -387,6 +397,17 @@ def _(spark, d):
     return G.voronoi_areas(G.voronoi(V.small_cells(spark, d))).select("cell_id", _r("area", 4))
 
 
+@_register("voronoi_highlight", "SELECT cell_id, CASE WHEN celltype IN ('T1', 'T4') THEN celltype ELSE 'Background' END AS category, celltype IN ('T1', 'T4') AS highlighted FROM c1")
+def _(spark, d):
+    cells = V.small_cells(spark, d)
+    return G.voronoi_plot(G.voronoi(cells), cells, highlight=("celltype", ["T1", "T4"])).select("cell_id", "category", "highlighted").distinct()
+
+
+@_register("voronoi_limits", "SELECT round(min(X) - 0.05 * (max(X) - min(X)), 6) AS x_low, round(max(X) + 0.05 * (max(X) - min(X)), 6) AS x_high, round(min(Y) - 0.05 * (max(Y) - min(Y)), 6) AS y_low, round(max(Y) + 0.05 * (max(Y) - min(Y)), 6) AS y_high FROM c1")
+def _(spark, d):
+    return G.plot_limits(G.voronoi(V.small_cells(spark, d))).select(*[_r(c) for c in ("x_low", "x_high", "y_low", "y_high")])
+
+
 @_register("nbr_features_long", "WITH q AS (SELECT a.id, c1.celltype AS nbr_type, count(*) AS c FROM adj1 a JOIN c1 ON c1.cell_id = a.nid GROUP BY 1, 2) SELECT id, nbr_type, round(c / sum(c) OVER (PARTITION BY id), 6) AS prop FROM q")
 def _(spark, d):
     return H.neighbourhood_features_long(V.small_cells(spark, d), _edges1(spark, d)).select("id", "nbr_type", _r("prop"))
@@ -474,6 +495,19 @@ def _(spark, d):
     return H.network_segments(V.small_cells(spark, d), _edges1(spark, d), "top", 100).select("from", "to", "x1", "y1", "x2", "y2", _r("strength"))
 
 
+_SEGMENTS = "SELECT e.a AS \"from\", e.b AS \"to\", x.X AS x1, x.Y AS y1, y.X AS x2, y.Y AS y2, round(1 / dist, 6) AS strength FROM edge1 e JOIN c1 x ON x.cell_id = e.a JOIN c1 y ON y.cell_id = e.b"
+
+
+@_register("network_segments_all", _SEGMENTS)
+def _(spark, d):
+    return H.network_segments(V.small_cells(spark, d), _edges1(spark, d)).select("from", "to", "x1", "y1", "x2", "y2", _r("strength"))
+
+
+@_register("network_segments_random", _SEGMENTS + " ORDER BY md5(concat(e.a, ',', e.b, ',42')), 1, 2 LIMIT 100")
+def _(spark, d):
+    return H.network_segments(V.small_cells(spark, d), _edges1(spark, d), "random", max_edges=100).select("from", "to", "x1", "y1", "x2", "y2", _r("strength"))
+
+
 @_register("plot_sample", "SELECT * FROM c2 ORDER BY md5(concat(cell_id, ',42')), cell_id LIMIT 1000")
 def _(spark, d):
     return H.plot_sample(V.large_cells(spark, d), 1000)

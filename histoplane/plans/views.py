@@ -42,6 +42,14 @@ def gene_sets(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.concat(F.lit("DB"), (F.col("p_size") % 2).cast("string")).alias("database"), F.col("p_type").alias("term"), F.concat(F.lit("prot"), (F.col("p_partkey") % 200).cast("string")).alias("gene")).distinct()
 
 
+def register_views(spark: SparkSession, d: str, prefix: str = "") -> list[str]:
+    """The views by their names here, for ``spark.sql``."""
+    made = (small_cells, large_cells, dense_expression, sparse_counts, gene_sets)
+    for f in made:
+        f(spark, d).createOrReplaceTempView(prefix + f.__name__)
+    return [prefix + f.__name__ for f in made]
+
+
 #: The same views for DuckDB, to be put in front of a query.
 SQL = {
     "c1": "SELECT vec_id AS cell_id, embedding[1]::DOUBLE*1000 AS X, embedding[2]::DOUBLE*1000 AS Y, concat('T', label::VARCHAR) AS celltype FROM embeddings",

@@ -5,8 +5,9 @@ import math
 
 import numpy as np
 import pytest
+from conftest import DATA
 
-from histoplane.functions.palette import palette
+from histoplane.functions.palette import CELL_TYPES, palette, type_colours
 from histoplane.functions.stats import benjamini_hochberg, incomplete_beta
 from histoplane.operators import cells as C
 from histoplane.operators import clustering as K
@@ -15,6 +16,7 @@ from histoplane.operators import geometry as G
 from histoplane.operators import neighbourhoods as H
 from histoplane.operators import network as W
 from histoplane.operators.neighbours import knn, points
+from histoplane.plans.views import register_views
 from histoplane.sources import io
 
 
@@ -241,6 +243,22 @@ def test_sources(spark, tmp_path):
 
 def test_palette():
     assert [len(palette(n)) for n in (1, 2, 9, 12, 40)] == [1, 2, 9, 12, 40] and len(set(palette(40))) == 40
+    assert palette(13)[0] == palette(40)[0] == "#F8766D"  # 15 degrees
+    assert type_colours(["b", "a", "b"]) == {"a": CELL_TYPES[0], "b": CELL_TYPES[1]} and len(set(type_colours(map(str, range(50))).values())) == 50
+
+
+def test_views_are_tables(spark):
+    names = register_views(spark, DATA, "v_")
+    assert "v_small_cells" in names and spark.sql("SELECT celltype, count(*) AS n FROM v_small_cells GROUP BY 1").count() == spark.table("v_small_cells").select("celltype").distinct().count()
+    assert all(spark.table(n).count() for n in names)
+
+
+def test_marker_panel_of_a_layout(spark):
+    layout = spark.createDataFrame([(1, 0.5, 2.0), (2, 1.5, 3.0)], "id long, x double, y double")
+    expr = spark.createDataFrame([(1, "a", 7.0), (1, "b", 8.0), (3, "a", 9.0)], "cell_id long, feature string, value double")
+    got = X.marker_panel(layout, expr, None, "id", "x", "y").collect()
+    assert sorted(map(tuple, got)) == [(1, 0.5, 2.0, "a", 7.0), (1, 0.5, 2.0, "b", 8.0)]
+
 
 
 def test_dendrogram_order():
