@@ -7,7 +7,9 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.moments import exact_quantiles
 from ..functions.stats import is_finite
+from ..plans.storage import keep, numbered
 
 
 def require(df: DataFrame, *cols: str) -> None:
@@ -42,17 +44,19 @@ def prepare_data(df: DataFrame, cell_id_col: str | None = None, x_col: str = "X"
     if celltype_col in df.columns:
         df = df.where(F.col(celltype_col).isNotNull())
     if not found:
-        df = df.withColumn("Cell_ID", F.row_number().over(Window.orderBy("X", "Y")))
+        df = numbered(df, ["X", "Y"], "Cell_ID")
     return df
 
 
 def filter_data(cells: DataFrame, mad_threshold: float = 3, quantile: float = 0.05, count_col: str = "n_count", feature_col: str = "n_feature") -> DataFrame:
     """Cells whose count lies strictly within ``mad_threshold`` deviations of the median and whose features are strictly above a quantile."""
-    middle = cells.agg(F.median(count_col).alias("_med"), F.percentile(feature_col, F.lit(quantile)).alias("_low"))
-    spread = cells.join(F.broadcast(middle)).agg(F.median(F.abs(F.col(count_col) - F.col("_med"))).alias("_mad"))
-    joined = cells.join(F.broadcast(middle)).join(F.broadcast(spread))  # one row each
-    keep = (F.abs(F.col(count_col) - F.col("_med")) < mad_threshold * F.col("_mad")) & (F.col(feature_col) > F.col("_low"))
-    return joined.where(keep).select(cells.columns)
+    cells = keep(cells, "cells-to-filter")  # read once for each pass over a quantile
+    middle, low = exact_quantiles(cells, count_col, [0.5])[0], exact_quantiles(cells, feature_col, [quantile])[0]
+    if middle is None or low is None:
+        return cells.where(F.lit(False))
+    off = F.abs(F.col(count_col) - F.lit(middle))
+    spread = exact_quantiles(cells, off, [0.5])[0]
+    return cells.where((off < mad_threshold * spread) & (F.col(feature_col) > F.lit(low)))
 
 
 def annotate_celltypes(cells: DataFrame, cluster_ids: list, labels: list[str], cluster_col: str = "cluster", out: str = "celltype") -> DataFrame:

@@ -6,21 +6,29 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.moments import covariance
 from ..functions.stats import benjamini_hochberg, normal_p, student_p
 
 
+def _with(expr: DataFrame, by: str, **aggregates) -> DataFrame:
+    """Adds aggregates of each group: by window for cells, whose rows are few; else summed in parts and joined, as a feature has a row for every cell."""
+    if by == "cell_id":
+        return expr.withColumns({name: value.over(Window.partitionBy(by)) for name, value in aggregates.items()})
+    stats = expr.groupBy(F.col(by).alias("_by")).agg(*[value.alias(name) for name, value in aggregates.items()])
+    return expr.join(stats, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
 def centred_log_ratio(expr: DataFrame, margin: str = "cell_id", universe: int | None = None) -> DataFrame:
     """log1p(x / exp(sum of log1p of positive values / N)) over each cell or feature; N is ``universe`` or the rows there are."""
-    w = Window.partitionBy(margin)
-    n = F.lit(universe) if universe else F.count("*").over(w)
-    centre = F.sum(F.when(F.col("value") > 0, F.log1p("value")).otherwise(0.0)).over(w) / n
-    return expr.withColumn("value", F.log1p(F.col("value") / F.exp(centre)))
+    both = _with(expr, margin, _s=F.sum(F.when(F.col("value") > 0, F.log1p("value")).otherwise(0.0)), _n=F.count("*"))
+    centre = F.col("_s") / (F.lit(universe) if universe else F.col("_n"))
+    return both.withColumn("value", F.log1p(F.col("value") / F.exp(centre))).drop("_s", "_n")
 
 
 def centred_log_ratio_nonzero(expr: DataFrame, margin: str = "cell_id") -> DataFrame:
     """The mean is over positive values only; vectors without one stay."""
-    centre = F.avg(F.when(F.col("value") > 0, F.log1p("value"))).over(Window.partitionBy(margin))
-    return expr.withColumn("value", F.when(centre.isNull(), F.col("value")).otherwise(F.log1p(F.col("value") / F.exp(centre))))
+    both = _with(expr, margin, _c=F.avg(F.when(F.col("value") > 0, F.log1p("value"))))
+    return both.withColumn("value", F.when(F.col("_c").isNull(), F.col("value")).otherwise(F.log1p(F.col("value") / F.exp("_c")))).drop("_c")
 
 
 def log_normalise(expr: DataFrame, scale: float = 10_000.0, log: bool = True) -> DataFrame:
@@ -43,23 +51,22 @@ def densify(expr: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def component_spectrum(expr: DataFrame, features: list[str], components: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues and vectors of the features' covariance, from one distributed aggregate of features squared numbers."""
-    wide = expr.groupBy("cell_id").pivot("feature", features).agg(F.first("value")).na.fill(0.0)
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    row = wide.agg(*[F.covar_samp(F.col(f"`{features[i]}`"), F.col(f"`{features[j]}`")).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((len(features), len(features)))
-    for (i, j), v in zip(pairs, row):
-        cov[i, j] = cov[j, i] = v or 0.0
-    values, vectors = np.linalg.eigh(cov)
+    """Eigenvalues and vectors of the features' covariance, from the products that each task adds up; absent values are 0."""
+    table = expr.sparkSession.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, i int")
+    placed = expr.join(F.broadcast(table), "feature", "left")  # a row for each feature asked for
+    means = dict(placed.where("i IS NOT NULL").groupBy("i").agg(F.avg("value")).collect())
+    one = F.when(F.col("i").isNotNull() & F.col("value").isNotNull(), F.struct("i", F.col("value").cast("double").alias("v")))
+    rows = placed.groupBy("cell_id").agg(F.array_sort(F.collect_list(one)).alias("r")).select(F.col("r.i").alias("at"), F.col("r.v").alias("val"))
+    values, vectors = np.linalg.eigh(covariance(rows, len(features), [means.get(i) or 0.0 for i in range(len(features))]))
     order = np.argsort(values)[::-1][:components]
     return np.maximum(values[order], 0.0), vectors[:, order]
 
 
 def component_scores(expr: DataFrame, features: list[str], vectors: np.ndarray) -> DataFrame:
     """``cell_id, vec``: projections of centred values."""
-    mean = Window.partitionBy("feature")
     load = expr.sparkSession.createDataFrame([(f, [float(x) for x in vectors[i]]) for i, f in enumerate(features)], "feature string, load array<double>")
-    long = expr.withColumn("value", F.col("value") - F.avg("value").over(mean)).join(F.broadcast(load), "feature")
+    centred = _with(expr, "feature", _m=F.avg("value")).withColumn("value", F.col("value") - F.col("_m"))
+    long = centred.join(F.broadcast(load), "feature")
     sums = [F.sum(F.col("value") * F.col("load")[i]) for i in range(vectors.shape[1])]
     return long.groupBy("cell_id").agg(F.array(*sums).alias("vec"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.moments import exact_quantiles
+from ..plans.storage import keep
 from .neighbours import knn, kth_distance, points, range_join
 
 
@@ -23,8 +25,9 @@ def celltype_distance_lists(cells: DataFrame, celltype_col: str = "celltype") ->
 
 
 def global_nn_stats(cells: DataFrame) -> DataFrame:
-    d = kth_distance(knn(points(cells), 1), 1)
-    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_dist"), F.percentile("d", F.lit(0.9)).alias("q90"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist"))
+    d = keep(kth_distance(knn(points(cells), 1), 1), "nearest-distances")
+    q90 = F.lit(exact_quantiles(d, "d", [0.9])[0]).cast("double")
+    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_dist"), q90.alias("q90"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist"))
 
 
 def _adjacent(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.moments import exact_quantiles
 from ..plans.storage import keep
 from .local import nearest
 from .neighbours import extent, knn, kth_distance, points, range_join
@@ -205,7 +206,9 @@ def optimal_radius(cells: DataFrame, sample_size: int = 1000, multiplier: float
     if p.count() < 2 or k < 1:
         raise ValueError("at least two cells and one neighbour are needed")
     d = kth_distance(knn(p, k), k)
-    main = d.agg((F.percentile("d", F.lit(0.9)) * multiplier).alias("recommended"), F.percentile("d", F.lit(0.9)).alias("q90"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist"))
+    d = keep(d, "kth-distances")
+    q90 = F.lit(exact_quantiles(d, "d", [0.9])[0])
+    main = d.agg((q90 * multiplier).alias("recommended"), q90.alias("q90"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist"))
     some = p.orderBy(F.md5(F.concat_ws(",", "id", F.lit(seed))), "id").limit(sample_size)
     a, b = some.alias("a"), some.alias("b")
     dist = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))

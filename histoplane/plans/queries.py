@@ -354,25 +354,9 @@ def _(spark, d):
     return W.cap_edges(_edges1(spark, d), 200).select("from", "to", _r("dist"))
 
 
-@_register(
-    "edges_delaunay",
-    """WITH p AS (SELECT row_number() OVER (ORDER BY cell_id) AS i, cell_id, X, Y FROM c1 ORDER BY cell_id LIMIT 60),
-    t AS (SELECT a.i AS a, b.i AS b, c.i AS c, a.X AS ax, a.Y AS ay, b.X AS bx, b.Y AS b_y, c.X AS cx, c.Y AS cy, sign((b.X-a.X)*(c.Y-a.Y)-(b.Y-a.Y)*(c.X-a.X)) AS o FROM p a JOIN p b ON a.i < b.i JOIN p c ON b.i < c.i),
-    k AS (SELECT a, b, c FROM t WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.i NOT IN (t.a, t.b, t.c) AND t.o * (
-      ((t.ax-q.X)*(t.ax-q.X)+(t.ay-q.Y)*(t.ay-q.Y)) * ((t.bx-q.X)*(t.cy-q.Y)-(t.cx-q.X)*(t.b_y-q.Y))
-      - ((t.bx-q.X)*(t.bx-q.X)+(t.b_y-q.Y)*(t.b_y-q.Y)) * ((t.ax-q.X)*(t.cy-q.Y)-(t.cx-q.X)*(t.ay-q.Y))
-      + ((t.cx-q.X)*(t.cx-q.X)+(t.cy-q.Y)*(t.cy-q.Y)) * ((t.ax-q.X)*(t.b_y-q.Y)-(t.bx-q.X)*(t.ay-q.Y))) > 0)),
-    e AS (SELECT a AS i, b AS j FROM k UNION SELECT a, c FROM k UNION SELECT b, c FROM k)
-    SELECT x.cell_id AS "from", y.cell_id AS "to", round(sqrt((x.X-y.X)*(x.X-y.X)+(x.Y-y.Y)*(x.Y-y.Y)), 6) AS dist FROM e JOIN p x ON x.i = e.i JOIN p y ON y.i = e.j""",
-)
-def _(spark, d):
-    # the SQL compares all triples with all points, so this fixture has 60 cells; edges_delaunay_all takes all
-    return G.edges_delaunay(V.small_cells(spark, d).orderBy("cell_id").limit(60)).select("from", "to", F.round("dist", 6).alias("dist"))
-
-
-@_register("edges_delaunay_all", "SELECT a AS \"from\", b AS \"to\", round(2 * sqrt(hx * hx + hy * hy), 6) AS dist FROM dl1")
+@_register("edges_delaunay_all", "SELECT a AS \"from\", b AS \"to\", 2 * sqrt(hx * hx + hy * hy) AS dist FROM dl1")
 def _(spark, d):
-    return G.edges_delaunay(V.small_cells(spark, d)).withColumn("dist", F.round("dist", 6))
+    return G.edges_delaunay(V.small_cells(spark, d))
 
 
 @_register("voronoi_area", "SELECT round((max(X) - min(X)) * (max(Y) - min(Y)), 3) AS area FROM c1")
@@ -519,12 +503,6 @@ def _merge_protein(spark, d, expression):
     return X.merge_protein(cl, wide.withColumnRenamed("prot2", "p2").withColumnRenamed("prot3", "p3")).select("Cell_ID", "X", "Y", "Neighborhood_Cluster", "p2", "p3", "Spatial_Zone")
 
 
-@_register("merge_protein", "SELECT c.cell_id::VARCHAR AS \"Cell_ID\", X, Y, celltype AS \"Neighborhood_Cluster\", p2, p3, celltype AS \"Spatial_Zone\" FROM c1 c LEFT JOIN (SELECT cell_id, max(value) FILTER (WHERE feature = 'prot2') AS p2, max(value) FILTER (WHERE feature = 'prot3') AS p3 FROM e1 WHERE cell_id % 2 = 0 GROUP BY 1) e USING (cell_id)")
-def _(spark, d):
-    # as its SQL, on the expression of every other cell, so that half of the cells are unmatched; merge_protein_all takes all
-    return _merge_protein(spark, d, V.dense_expression(spark, d).where("cell_id % 2 = 0"))
-
-
 @_register("merge_protein_all", "SELECT c.cell_id::VARCHAR AS \"Cell_ID\", X, Y, celltype AS \"Neighborhood_Cluster\", p2, p3, celltype AS \"Spatial_Zone\" FROM c1 c LEFT JOIN (SELECT cell_id, max(value) FILTER (WHERE feature = 'prot2') AS p2, max(value) FILTER (WHERE feature = 'prot3') AS p3 FROM e1 GROUP BY 1) e USING (cell_id)")
 def _(spark, d):
     return _merge_protein(spark, d, V.dense_expression(spark, d))

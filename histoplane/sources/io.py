@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import numbered
+
 
 @dataclass
 class Dataset:
@@ -42,7 +44,9 @@ def read_measurements(spark: SparkSession, path: str, x_col: str | None = None,
     low = {c.lower(): c for c in df.columns}
     find = lambda given, axis: given or next(c for l, c in low.items() if l == axis or l.startswith(f"centroid {axis}"))  # noqa: E731, E741
     x, y = find(x_col, "x"), find(y_col, "y")
-    cell = F.col(f"`{id_col}`").cast("string") if id_col else F.concat(F.lit("cell_"), F.row_number().over(Window.orderBy(x, y)).cast("string"))
+    if not id_col:
+        df = numbered(df, [F.col(f"`{x}`"), F.col(f"`{y}`")], "cell_id")
+    cell = F.col(f"`{id_col}`").cast("string") if id_col else F.concat(F.lit("cell_"), F.col("cell_id").cast("string"))
     df = df.withColumn("cell_id", cell)
     markers = [c for c, t in df.dtypes if c not in (x, y, id_col, "cell_id") and t in ("int", "bigint", "double", "float")]
     expr = df.unpivot("cell_id", [F.col(f"`{m}`").cast("double").alias(m) for m in markers], "feature", "value")

@@ -6,7 +6,10 @@ import math
 import numpy as np
 import pytest
 from conftest import DATA
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from histoplane.functions import moments as M
 from histoplane.functions.palette import CELL_TYPES, palette, type_colours
 from histoplane.functions.stats import benjamini_hochberg, incomplete_beta
 from histoplane.operators import cells as C
@@ -16,6 +19,7 @@ from histoplane.operators import geometry as G
 from histoplane.operators import neighbourhoods as H
 from histoplane.operators import network as W
 from histoplane.operators.neighbours import knn, points
+from histoplane.plans.storage import numbered
 from histoplane.plans.views import register_views
 from histoplane.sources import io
 
@@ -41,6 +45,42 @@ def test_filter_strict(spark):
     assert C.filter_data(same).count() == 0
 
 
+@pytest.mark.parametrize("values", [[], [None, 3.0], [1.0, 2.0], list(range(997)), [5.0] * 900 + [7.0] * 90 + [9.5], [math.exp(i / 3) for i in range(1500)] + [None] * 40 + [-2.0] * 333, [1.0, float("nan")] * 300])
+def test_exact_quantiles(spark, monkeypatch, values):
+    monkeypatch.setattr(M, "AT_ONCE", 25)
+    monkeypatch.setattr(M, "ACCURACY", 50)
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").repartition(3)
+    shares = [0.0, 0.05, 0.5, 0.9, 1.0]
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0] or [None] * len(shares)
+    assert repr(M.exact_quantiles(df, "v", shares)) == repr(list(want))
+
+
+def test_covariance(spark):
+    x = np.random.default_rng(3).normal(100, 2, (300, 7)) * (np.random.default_rng(4).random((300, 7)) < 0.7)
+    rows = spark.createDataFrame([([int(i) for i in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for r in x], "at array<int>, val array<double>")
+    for shift in ([0.0] * 7, [100.0] * 7):
+        assert np.allclose(M.covariance(rows.repartition(4), 7, shift), np.cov(x.T), rtol=1e-9)
+    assert not M.covariance(rows.limit(0), 7, [0.0] * 7).any()
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(float(i * 7 % 101), i) for i in range(101)], "X double, i int").repartition(5)
+    assert sorted((r.n, r.X) for r in numbered(df, ["X"], "n").collect()) == [(i + 1, float(i)) for i in range(101)]
+    assert numbered(df.limit(0), ["X"], "n").collect() == []
+
+
+def test_log_ratio_by_feature_equals_windows(spark):
+    expr = spark.createDataFrame([(c, f, float((c * 3 + k) % 5)) for c in range(6) for k, f in enumerate(("a", "b", None))] + [(9, "z", 0.0)], "cell_id long, feature string, value double")
+    w = Window.partitionBy("feature")
+    log = F.when(F.col("value") > 0, F.log1p("value"))
+    full = expr.withColumn("value", F.log1p(F.col("value") / F.exp(F.sum(F.coalesce(log, F.lit(0.0))).over(w) / F.count("*").over(w))))
+    mean = F.avg(log).over(w)
+    positive = expr.withColumn("value", F.when(mean.isNull(), F.col("value")).otherwise(F.log1p(F.col("value") / F.exp(mean))))
+    rows = lambda df: sorted((r.cell_id, str(r.feature), round(r.value, 9)) for r in df.collect())
+    assert rows(X.centred_log_ratio(expr, "feature")) == rows(full)
+    assert rows(X.centred_log_ratio_nonzero(expr, "feature")) == rows(positive)
+
+
 def test_annotate(spark):
     df = spark.createDataFrame([("0",), ("1",), ("9",)], "cluster string")
     out = C.annotate_celltypes(df, [0, 1, 0], ["a", "b", "c"])
