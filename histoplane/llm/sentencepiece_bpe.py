@@ -3,7 +3,7 @@
 A text becomes a flat numpy array of symbols (one for each character, after the dummy space in front),
 cut into words where no piece of the vocabulary can reach across. In each round every word looks up the
 rank of all its neighbouring pairs, takes the smallest, and merges its leftmost occurrence, all words at
-once; merged symbols are compacted away and words without a pair leave. One merge a word and round gives
+once; merged symbols are compacted away, pairs beside them are looked up anew, and words without a pair leave. One merge a word and round gives
 exactly the library's order. Words are encoded once for each batch; short ones are kept in a cache of bounded bytes. Words of
 over ``LONG_WORD`` characters (text without spaces), where rounds would cost the square of their length,
 take the same merges from a heap. Characters without a piece become byte pieces.
@@ -75,6 +75,10 @@ class PieceModel:
                 self.symbols.setdefault(c, size + len(self.symbols) - len(vocab))
         self.width = size + len(self.symbols) - len(vocab) + 1
         self.unknown = self.width - 1  # stands for every character that no piece has
+        self.code_points = np.full(0x110000, self.unknown, dtype=np.int64)
+        for c, symbol in self.symbols.items():
+            if len(c) == 1:
+                self.code_points[ord(c)] = symbol
         score = {i: sp.get_score(i) for i in vocab.values()}
         place = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         pairs: dict[int, tuple[int, int]] = {}
@@ -148,53 +152,78 @@ class PieceModel:
         if not short:
             return out
         text = "".join([words[i] for i in short])
-        sym = np.fromiter((get(c, unknown) for c in text), dtype=np.int64, count=len(text))
+        sym = self.code_points[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         word = np.repeat(np.arange(len(short)), [len(words[i]) for i in short])
+        last = len(self.keys) - 1  # stands for no pair
+        pair = np.full(len(sym), last)
+        pair[:-1] = np.where(word[1:] == word[:-1], self._pairs(sym[:-1], sym[1:]), last)
         while len(sym):
-            same = word[1:] == word[:-1]
-            key = sym[:-1] * self.width + sym[1:]
-            at = np.searchsorted(self.keys, key)
-            hit = same & (self.keys[at] == key)
-            rank = np.full(len(sym), NO_PAIR, dtype=np.int32)
-            rank[:-1][hit] = self.ranks[at[hit]]
-            start = np.flatnonzero(np.concatenate(([True], ~same)))
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             length = np.diff(np.append(start, len(sym)))
+            rank = self.ranks[pair]
             least = np.minimum.reduceat(rank, start)
             done = least == NO_PAIR
             if done.any():
-                for s, n in zip(start[done].tolist(), length[done].tolist()):
+                ready = sym.astype(np.int32)
+                raw, pieces = ready.tobytes(), np.maximum.reduceat(ready, start)[done] < len(self.table)
+                for s, n, plain in zip(start[done].tolist(), length[done].tolist(), pieces.tolist()):
                     i = short[word[s]]
-                    out[i] = self._ids(sym[s : s + n].tolist(), words[i])
+                    out[i] = raw[4 * s : 4 * (s + n)] if plain else self._ids(ready[s : s + n].tolist(), words[i])
             best = np.flatnonzero((rank == np.repeat(least, length)) & (rank != NO_PAIR))
-            if len(best):
-                of = word[best]
-                best = best[np.concatenate(([True], of[1:] != of[:-1]))]
-                sym[best] = self.merged[at[best]]
+            if not len(best):
+                break
+            of = word[best]
+            best = best[np.concatenate(([True], of[1:] != of[:-1]))]
+            sym[best] = self.merged[pair[best]]
             keep = np.repeat(~done, length)
             keep[best + 1] = False
-            sym, word = sym[keep], word[keep]
+            at = np.cumsum(keep)[best] - 1
+            sym, word, pair = sym[keep], word[keep], pair[keep]
+            # only the pairs on both sides of a merged symbol are new
+            after, before = at[at + 1 < len(sym)], at[at > 0]
+            pair[at] = last
+            pair[after] = np.where(word[after + 1] == word[after], self._pairs(sym[after], sym[after + 1]), last)
+            pair[before - 1] = np.where(word[before - 1] == word[before], self._pairs(sym[before - 1], sym[before]), last)
         return out
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs of symbols in the sorted keys; the last place where they are none."""
+        key = left * self.width + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, at, len(self.keys) - 1)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes of int32."""
         split = [self.words.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
         cache = self.cache
-        new = list({w for words in split for w in words if w not in cache})
-        ids = {}
+        used = set().union(*split)
+        ids = {w: cache[w] for w in used if w in cache}
+        again = list(ids)
+        new = [w for w in used if w not in ids]
         for i in range(0, len(new), 50_000):
             some = new[i : i + 50_000]
             ids.update(zip(some, self.merge_words(some)))
-        out = [b"".join([ids[w] if w in ids else cache[w] for w in words]) for words in split]
-        for w, found in ids.items():
-            if len(w) <= CACHED_WORD:
-                size = ENTRY_BYTES + 2 * len(w) + len(found)
-                if self.cached + size > CACHE_BYTES:
-                    cache.clear()
-                    self.cached = 0
-                cache[w] = found
-                self.cached += size
+        out = [b"".join(map(ids.__getitem__, words)) for words in split]
+        self._remember(ids, new, again)
         return out
 
+    def _remember(self, ids: dict[str, bytes], new: list[str], again: list[str]) -> None:
+        """Short new words go into the cache; a full one starts anew with the words that were found in it just now, half of it at most."""
+        cache = self.cache
+        for w in new:
+            if len(w) > CACHED_WORD:
+                continue
+            size = ENTRY_BYTES + 2 * len(w) + len(ids[w])
+            if self.cached + size > CACHE_BYTES:
+                cache.clear()
+                self.cached = 0
+                for x in again:
+                    if self.cached < CACHE_BYTES // 2:
+                        cache[x] = ids[x]
+                        self.cached += ENTRY_BYTES + 2 * len(x) + len(ids[x])
+            cache[w] = ids[w]
+            self.cached += size
+
     def decode(self, ids) -> str:
         table = self.table
         out = b"".join([table[i] for i in ids])
