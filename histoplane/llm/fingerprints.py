@@ -3,7 +3,9 @@
 A text's shingles are its runs of ``SHINGLE_BYTES`` UTF-8 bytes (a shorter text is one shingle), hashed to 32
 bits. The fingerprint keeps every hash below the fixed fraction 1 / ``SCALE`` of the range, sorted, as eight hex
 digits each; so fingerprints of parts merge by union, and the share of one's hashes that another has estimates
-containment whatever their lengths. A text without any hash below the fraction keeps its smallest one.
+containment whatever their lengths. A text without any hash below the fraction, as many of under ``SCALE`` shingles
+are, keeps its smallest one; ``merge`` keeps such a one only where no part has a hash below. It tells equal short texts
+from others, but says nothing of containment in a longer text.
 ``likeness`` is the containment of the smaller fingerprint in the larger one, 1 for two empty texts, 0 for one.
 
 ``edited_fingerprints`` puts each document beside the next one in descending order of id. Ids are cut into
@@ -50,8 +52,13 @@ def sketch(text: bytes) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
     h = (h >> np.uint64(32)).astype(np.uint32)
-    kept = h[h < np.uint32((1 << 32) // SCALE)]
-    return np.unique(kept) if len(kept) else h.min(keepdims=True)
+    return np.unique(_below(h))
+
+
+def _below(hashes: np.ndarray) -> np.ndarray:
+    """Of some hashes those below the fraction, the smallest one where there is none."""
+    kept = hashes[hashes < np.uint32((1 << 32) // SCALE)]
+    return kept if len(kept) or not len(hashes) else hashes.min(keepdims=True)
 
 
 def to_text(hashes: np.ndarray) -> str:
@@ -63,8 +70,8 @@ def from_text(fingerprint: str) -> np.ndarray:
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Fingerprint of two texts taken together, but for shingles across their seam."""
-    return np.union1d(a, b)
+    """Fingerprint of two texts taken together, but for shingles across their seam: exactly that of both texts' shingles."""
+    return _below(np.union1d(a, b))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

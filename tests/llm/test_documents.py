@@ -259,6 +259,14 @@ def test_fingerprint_estimates():
     a, b = fingerprints.sketch(text[:20_000].encode()), fingerprints.sketch(text[20_000:].encode())
     assert len(np.setxor1d(fingerprints.merge(a, b), whole)) <= 16
     assert (fingerprints.from_text(fingerprints.to_text(a)) == a).all()
+    short = [fingerprints.sketch(f"a line of words {i}".encode()) for i in range(200)]  # some have no hash below the fraction
+    fraction = (1 << 32) // fingerprints.SCALE
+    assert any(s[0] >= fraction for s in short) and any(s[0] < fraction for s in short)
+    for x, y in zip(short, short[1:]):
+        both = np.union1d(x, y)
+        assert fingerprints.merge(x, y).tolist() == ([h for h in both.tolist() if h < fraction] or [int(both[0])])
+        assert fingerprints.merge(x, y).tolist() == fingerprints.merge(y, x).tolist()
+    assert fingerprints.merge(short[0], fingerprints.sketch(b"")).tolist() == short[0].tolist()
     assert fingerprints.likeness(fingerprints.sketch(b""), fingerprints.sketch(b"")) == 1.0 and len(fingerprints.sketch(b"x")) == 1
 
 
