@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, scratch_path, shuffle_partitions
+from .common import cut, drop_cut, partitions_for, read_table, scratch_path
 
 #: Bytes of an archive that one reading task takes, bytes read at once, and gap that a read bridges.
 STRETCH = 64 << 20
@@ -100,7 +100,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     shared = cut(shared, "op6-shared")
     refers = F.when(long_enough & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     ready = rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    return cut(ready.mapInArrow(_write(folder, level), INDEX), "op6-index")
+    index = cut(ready.mapInArrow(_write(folder, level), INDEX), "op6-index")
+    drop_cut(shared)
+    return index
 
 
 def _ranges(batches):
@@ -141,7 +143,8 @@ def _read(folder: str, with_payload: bool):
 
 def read_warc(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records that ``index`` (all or a selection of an archive's index) names; a revisit's payload is null."""
-    dealt = index.select("file", "offset", "length").repartition(shuffle_partitions(index.sparkSession), "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.select("file", "offset", "length").repartition(partitions_for(index.sparkSession, size), "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_read(folder, with_payload), RECORDS)
 
 
