@@ -128,6 +128,61 @@ def test_knn_over_many_tiles(spark, monkeypatch, text_ids):
     assert got == want and of_type == want_type
 
 
+def scattered(n, seed):
+    rnd = np.random.default_rng(seed)
+    xy = np.vstack((rnd.normal(0, 30, (n, 2)), rnd.integers(0, 5, (n // 3, 2)) * 4.0, [[7.0, -3.0]] * 40, [[1e5, -1e5]]))
+    return xy, ["ABC"[i % 3] if i % 7 else None for i in range(len(xy))]
+
+
+def test_radius_graph_pairs_once_and_unshuffled(spark, monkeypatch):
+    from histoplane.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 20)
+    xy, _ = scattered(300, 5)
+    df = table(spark, [(i, float(x), float(y), "t") for i, (x, y) in enumerate(xy)] + [(9999, None, 1.0, "t")])
+    edges = W.edges_radius(df, 8.0, None)
+    got = edges.collect()
+    d2 = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(2)
+    assert len(got) == len({(r["from"], r["to"]) for r in got}) == ((d2 <= 64.0).sum() - len(xy)) / 2
+    assert all(r["from"] < r["to"] and abs(r.dist - d2[r["from"], r["to"]] ** 0.5) < 1e-9 for r in got)
+    # pairs are neither aggregated nor dealt
+    assert "Aggregate" not in edges._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    # a capped graph has no more rows than its cap
+    order = np.argsort(np.where(np.eye(len(xy)) > 0, np.inf, d2), axis=1, kind="stable")
+    cap = W.degree_cap(len(xy) + 1, float(np.ptp(xy[:, 0]) + 1e-8) * float(np.ptp(xy[:, 1]) + 1e-8), 8.0)
+    want = {(min(i, j), max(i, j)) for i in range(len(xy)) for j in order[i, :cap].tolist() if d2[i, j] <= 64.0}
+    capped = W.edges_radius(df, 8.0)
+    assert {(r["from"], r["to"]) for r in capped.collect()} == want
+    assert "Join" not in capped._jdf.queryExecution().optimizedPlan().toString()
+    twice = table(spark, [(1, 0.0, 0.0, "t"), (2, 1.0, 0.0, "t"), (2, 0.5, 0.0, "t")])
+    assert [tuple(r) for r in W.edges_radius(twice, 8.0, None).collect()] == [(1, 2, 0.5)]
+
+
+@pytest.mark.parametrize("method", ["radius", "window"])
+def test_purity_counts_match_brute_force(spark, monkeypatch, method):
+    from histoplane.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 20)
+    monkeypatch.setattr(neighbours, "TYPES", 3)
+    xy, kinds = scattered(400, 6)
+    df = table(spark, [(i, float(x), float(y), t) for i, ((x, y), t) in enumerate(zip(xy, kinds))] + [(9999, None, 1.0, "A")])
+    got = {r.cell_id: (r.neighbours, r.purity) for r in H.purity(df, method, radius=8.0).collect()}
+    for i in range(len(xy)):
+        d = xy - xy[i]
+        near = (np.abs(d) <= 4.0).all(1) if method == "window" else ((d**2).sum(1) <= 64.0) & ((d**2).sum(1) > 0)
+        near[i] = False
+        of = [sum(kinds[j] == t for j in np.flatnonzero(near)) for t in ("A", "B", "C", None)]
+        assert got[i] == (sum(of), max(of) / sum(of) if sum(of) >= 5 else None)
+    assert got[9999] == (0, None)
+
+
+def test_purity_of_many_cells_at_a_place(spark):
+    # 60 000 cells at 100 places: over 10^9 pairs
+    df = spark.range(60_000).selectExpr("id AS cell_id", "CAST(id % 10 AS double) AS X", "CAST(floor(id / 10) % 10 AS double) AS Y", "concat('T', id % 2) AS celltype")
+    got = H.purity(df, "radius", radius=1.0)
+    assert {tuple(r) for r in got.groupBy("neighbours").count().collect()} == {(1200, 4 * 600), (1800, 32 * 600), (2400, 64 * 600)}
+
+
 def test_window_graph_matches_brute_force(spark):
     rnd = np.random.default_rng(4)
     xy = np.vstack((rnd.random((120, 2)) * 60, rnd.random((700, 2)) * 2 + 30))
