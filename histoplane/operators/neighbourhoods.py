@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.moments import exact_quantiles
 from ..plans.storage import keep
-from .neighbours import knn, kth_distance, points, range_join
+from .neighbours import knn, kth_distance, points, type_counts
 
 
 def celltype_distances(cells: DataFrame, celltype_col: str = "celltype") -> DataFrame:
@@ -57,10 +57,8 @@ def purity(cells: DataFrame, method: str = "window", k: int = 30, radius: float
     window: the square of that side around the cell; radius: 0 < d <= radius; knn: the k nearest; delaunay: the graph's.
     """
     typed = points(cells, "cell_id", "X", "Y", F.col(celltype_col).alias("t"))
-    if method == "window":
-        near = range_join(typed, typed, radius / 2, square=True)
-    elif method == "radius":
-        near = range_join(typed, typed, radius).where("d2 > 0")
+    if method in ("window", "radius"):
+        found = type_counts(typed, radius / 2 if method == "window" else radius, method == "window")
     elif method in ("knn", "delaunay"):
         if method == "knn":
             pairs = knn(typed.drop("t"), k).select("id", "nid")
@@ -69,10 +67,10 @@ def purity(cells: DataFrame, method: str = "window", k: int = 30, radius: float
 
             pairs = _adjacent(edges_delaunay(cells))
         near = pairs.join(typed.select(F.col("id").alias("nid"), "t"), "nid")
+        counts = near.groupBy("id", "t").agg(F.count("*").alias("c"))
+        found = counts.groupBy("id").agg(F.sum("c").alias("neighbours"), F.max("c").alias("most"))
     else:
         raise ValueError(f"unknown method {method}")
-    counts = near.groupBy("id", "t").agg(F.count("*").alias("c"))
-    found = counts.groupBy("id").agg(F.sum("c").alias("neighbours"), F.max("c").alias("most"))
     share = F.when(F.col("neighbours") >= min_cells, F.col("most") / F.col("neighbours"))
     return cells.select("cell_id").join(found.withColumnRenamed("id", "cell_id"), "cell_id", "left").select("cell_id", F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbours"), share.alias("purity"))
 
