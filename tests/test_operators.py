@@ -282,6 +282,40 @@ def test_delaunay(n):
                 assert side * np.linalg.det(np.vstack((m, [xy[p, 0], xy[p, 1], (xy[p] ** 2).sum(), 1.0]))) <= 1e-6
 
 
+@pytest.mark.parametrize("kind", ["normal", "grid", "clumps", "line"])
+def test_delaunay_over_many_tiles(spark, monkeypatch, kind):
+    rnd = np.random.default_rng(11)
+    xy = {
+        "normal": rnd.normal(0, 100, (900, 2)),
+        "grid": np.array([(float(i), float(j)) for i in range(12) for j in range(12)]) + 0.0,
+        "clumps": np.vstack([rnd.normal(c, 1.0, (150, 2)) for c in ((0, 0), (500, 0), (0, 900))] + [[[4e4, -3e4], [0.0, 0.0], [0.0, 0.0]]]),
+        "line": np.column_stack((rnd.permutation(300) * 1.0, np.zeros(300))),
+    }[kind]
+    df = table(spark, [(i, float(x), float(y), "t") for i, (x, y) in enumerate(xy)] + [(99_999, None, 0.0, "t")])
+    monkeypatch.setattr(G, "TILE_POINTS", 40)
+    edges = G.edges_delaunay(df)
+    got = [(r["from"], r["to"]) for r in edges.collect()]
+    areas = {r.cell_id: r.area for r in G.voronoi_areas(G.voronoi(df)).collect()}
+    monkeypatch.setattr(G, "TILE_POINTS", 10**6)
+    want = {tuple(e) for e in G.delaunay_pairs(xy).tolist()}
+    assert len(got) == len(set(got))
+    if kind == "grid":  # diagonals are free, their number and the sides are not
+        assert len(got) == len(want) and {e for e in got if np.abs(xy[e[0]] - xy[e[1]]).sum() == 1} == {e for e in want if np.abs(xy[e[0]] - xy[e[1]]).sum() == 1}
+    else:
+        assert set(got) == want
+    assert abs(sum(areas.values()) - np.ptp(xy[:, 0]) * np.ptp(xy[:, 1])) <= 1e-6 * max(1.0, np.ptp(xy[:, 0]) * np.ptp(xy[:, 1]))
+
+
+def test_delaunay_tiles_leave_few_open(spark, monkeypatch):
+    # the one task gets the rim of what tiles leave open, not all points
+    seen, real = [], G.keep
+    monkeypatch.setattr(G, "keep", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    monkeypatch.setattr(G, "TILE_POINTS", 200)
+    xy = np.random.default_rng(12).normal(0, 100, (6000, 2))
+    assert G.edges_delaunay(table(spark, [(i, float(x), float(y), "t") for i, (x, y) in enumerate(xy)])).count() == 3 * 6000 - 3 - len(G.hull(xy))
+    assert dict(seen)["sure-edges"].where("n = 1").count() < 400
+
+
 def test_delaunay_degenerate():
     assert G.delaunay_pairs(np.array([[0.0, 0.0], [1, 0], [2, 0], [5, 0]])).tolist() == [[0, 1], [1, 2], [2, 3]]
     assert G.delaunay_pairs(np.array([[0.0, 0.0], [0, 0]])).tolist() == [[0, 1]]
