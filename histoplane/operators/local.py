@@ -146,3 +146,77 @@ def counted(qx, qy, cx, cy, code, weight, types: int, reach: float, square: bool
                 np.add.at(found.reshape(-1), q * types + code[a:b][i], weight[a:b][i])
             out[by[at]] += found
     return out
+
+
+def boxes(v: np.ndarray, most: int) -> list[np.ndarray]:
+    """Indices of the rows of each leaf: halves along the widest side until none has over ``most``."""
+    out, todo = [], [np.arange(len(v))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= most:
+            if len(at):
+                out.append(at)
+            continue
+        side = v[at, int(np.argmax(np.ptp(v[at], axis=0)))]
+        order = at[np.argpartition(side, len(at) // 2)]
+        todo += [order[: len(at) // 2], order[len(at) // 2 :]]
+    return out
+
+
+def _first(row, col, d, ids, k: int):
+    """The k least of each row by (distance, id)."""
+    by = np.lexsort((ids[col], d, row))
+    row, col, d = row[by], col[by], d[by]
+    take = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[take], col[take], d[take]
+
+
+def nearest_vectors(q, q_id, c, c_id, k: int):
+    """The k nearest candidates of each query by (distance, id), its own id left out: query, candidate, squared distance.
+
+    Exact: a leaf of queries meets the leaves of candidates in order of their gap until none can be nearer than its worst k-th distance.
+    Products of matrices with a slack choose which distances are computed.
+    """
+    if not len(q) or not len(c):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    parts = boxes(c, 1024)
+    low, high = (np.array([f(c[at], axis=0) for at in parts]) for f in (np.min, np.max))
+    middle = c.mean(0)
+    wide = [np.column_stack((-2 * (c[at] - middle), ((c[at] - middle) ** 2).sum(1))).T for at in parts]
+    slack = 1e-11 * (((c - middle) ** 2).sum(1).max() + ((q - middle) ** 2).sum(1).max())
+    out = []
+    for at in boxes(q, 512):
+        x, own = q[at], q_id[at]
+        gap = (np.maximum(0, np.maximum(low - x.max(0), x.min(0) - high)) ** 2).sum(1)
+        one = np.column_stack((x - middle, np.ones(len(at))))
+        norm = ((x - middle) ** 2).sum(1)
+        bound = np.full(len(at), np.inf)
+        row, col, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        new, size = [], 0
+        order = np.argsort(gap, kind="stable")
+        for n, p in enumerate(order):
+            if gap[p] > bound.max() + slack:
+                break
+            about = one @ wide[p]
+            if not n and len(parts[p]) > k + 1:  # its own and k more
+                bound = np.partition(about, k, axis=1)[:, k] + norm + 2 * slack
+            r, j = np.nonzero(about <= (bound - norm + slack)[:, None])
+            j = parts[p][j]
+            other = own[r] != c_id[j]
+            new.append((r[other], j[other]))
+            size += len(r)
+            if size >= 4 * k * len(at) or n == len(order) - 1 or np.isinf(bound).any():
+                r, j = (np.concatenate([v[i] for v in new]) for i in range(2))
+                e = ((c[j] - x[r]) ** 2).sum(1)
+                ok = e <= bound[r]
+                row, col, d = _first(np.concatenate((row, r[ok])), np.concatenate((col, j[ok])), np.concatenate((d, e[ok])), c_id, k)
+                new, size = [], 0
+                full = np.bincount(row, minlength=len(at)) >= k
+                last = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if len(row) else np.empty(0, np.int64)
+                bound[row[last]] = np.where(full[row[last]], d[last], bound[row[last]])
+        if new:
+            r, j = (np.concatenate([v[i] for v in new]) for i in range(2))
+            e = ((c[j] - x[r]) ** 2).sum(1)
+            row, col, d = _first(np.concatenate((row, r)), np.concatenate((col, j)), np.concatenate((d, e)), c_id, k)
+        out.append((at[row], col, d))
+    return tuple(np.concatenate(x) for x in zip(*out))

@@ -6,12 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.storage import keep
 from .clustering import graph_clusters, snn_graph
 from .expression import centred_log_ratio, centred_log_ratio_nonzero, component_scores, component_spectrum, log_normalise, scale_features
+from .local import nearest_vectors
 from .neighbours import points
 
 
@@ -39,28 +42,35 @@ def normalise(expr: DataFrame, method: str = "CLR", margin: int = 2) -> DataFram
     raise ValueError(f"unknown method {method}")
 
 
+#: Queries and candidates of a task of ``nearest_in_components``.
+QUERIES, CANDIDATES = 32_768, 262_144
+
+
 def nearest_in_components(scores: DataFrame, dims: int, k: int) -> DataFrame:
-    """``id, nid, d2, rn``: exact neighbours on all ``dims`` components, by blocks of cells against all others in tasks."""
-    v = scores.select(F.col("cell_id").alias("id"), F.slice("vec", 1, dims).alias("v"))
-    kind = dict(v.dtypes)["id"]
+    """``id, nid, d2, rn``: exact neighbours on all ``dims`` components, by blocks of cells against blocks of others in tasks."""
+    v = keep(scores.select(F.col("cell_id").alias("id"), F.slice("vec", 1, dims).alias("v")), "components")
+    kind = v.schema["id"].dataType
     n = v.count()
-    blocks = max(1, -(-n // 2000))
-    b = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    left = b.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("side", F.lit(0))
-    right = b.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("q"), F.col("b").alias("o")).select("id", "v", F.col("q").alias("b"), "o").withColumn("side", F.lit(1))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        a, x = np.array(q["v"].tolist()), np.array(c["v"].tolist())
-        ids, rows = c["id"].to_numpy(), []
-        for i, row in zip(q["id"].to_numpy(), a):
-            d = ((x - row) ** 2).sum(1)
-            d[ids == i] = np.inf
-            best = np.lexsort((ids, d))[:k]
-            rows += [(i, ids[j], d[j]) for j in best if np.isfinite(d[j])]
-        return pd.DataFrame(rows, columns=["id", "nid", "d2"])
-
-    found = left.unionByName(right).groupBy("b", "o").applyInPandas(run, f"id {kind}, nid {kind}, d2 double")
+    asked, met = (max(1, -(-n // most)) for most in (QUERIES, CANDIDATES))
+    # small tables still go to a few tasks
+    asked = max(asked, min(16, n // 1024 + 1))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    left = v.select("id", "v", block(asked).alias("b"), every(met).alias("o"))
+    right = v.select(F.col("id").alias("id"), F.col("v").alias("v"), every(asked).alias("b"), block(met).alias("o"))
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        ids = [t.column("id").combine_chunks() for t in (q, c)]
+        codes = [i.to_numpy(zero_copy_only=False) for i in ids]
+        if any(i.dtype == object for i in codes):
+            both = np.unique(np.concatenate(codes), return_inverse=True)[1]
+            codes = [both[: len(codes[0])], both[len(codes[0]) :]]
+        rows = [pa.chunked_array(t.column("v").chunks or [pa.array([], pa.list_(pa.float64()))]).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 1)) for t in (q, c)]
+        i, j, d = nearest_vectors(rows[0], codes[0], rows[1], codes[1], k)
+        return pa.table([ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(d)], names=["id", "nid", "d2"])
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("nid", kind), T.StructField("d2", T.DoubleType())])
+    found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInArrow(run, schema)
     return found.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nid"))).where(F.col("rn") <= k)
 
 
@@ -78,6 +88,7 @@ def graph_layout(nn: DataFrame, steps: int = 200, seed: int = 42) -> DataFrame:
         w = np.exp(-(d - low[a]) / max(float(np.mean(d - low[a])), 1e-12))
         rnd = np.random.default_rng(seed)
         y = rnd.normal(0, 5, (len(ids), 2))
+        ends = np.concatenate((a, b))
         for step in range(steps):
             rate = 1 - step / steps
             gap = y[a] - y[b]
@@ -87,9 +98,9 @@ def graph_layout(nn: DataFrame, steps: int = 200, seed: int = 42) -> DataFrame:
             away = y[a] - y[other]
             s = (away**2).sum(1)
             push = (2 / ((0.1 + s) * (1 + s)))[:, None] * away
-            move = np.zeros_like(y)
-            np.add.at(move, a, np.clip(pull, -4, 4) + np.clip(push, -4, 4))
-            np.add.at(move, b, -np.clip(pull, -4, 4))
+            pull = np.clip(pull, -4, 4)
+            both = np.concatenate((pull + np.clip(push, -4, 4), -pull))
+            move = np.column_stack([np.bincount(ends, weights=both[:, c], minlength=len(ids)) for c in (0, 1)])
             y += rate * np.clip(move, -4, 4)
         return pd.DataFrame({"id": ids, "x": y[:, 0], "y": y[:, 1]})
 

@@ -247,6 +247,35 @@ def test_expression_clusters_on_all_components(spark):
     assert len(found) == 50 and not {found[i] for i in range(0, 50, 2)} & {found[i] for i in range(1, 50, 2)}
 
 
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_nearest_in_components_by_blocks(spark, monkeypatch, text_ids):
+    from histoplane.operators import local, process
+
+    monkeypatch.setattr(process, "QUERIES", 100)
+    monkeypatch.setattr(process, "CANDIDATES", 150)
+    monkeypatch.setattr(local, "boxes", lambda v, most, real=local.boxes: real(v, min(most, 32)))
+    rnd = np.random.default_rng(9)
+    v = np.vstack((np.round(rnd.normal(0, 1, (350, 4)), 1), np.zeros((60, 4)), [[1e4, 0, 0, 0]]))  # ties and copies
+    ids = [f"c{i:04d}" if text_ids else i for i in range(len(v))]
+    df = spark.createDataFrame([(c, [float(x) for x in r]) for c, r in zip(ids, v)], f"cell_id {'string' if text_ids else 'long'}, vec array<double>")
+    got = {(r.id, r.rn): (r.nid, r.d2) for r in process.nearest_in_components(df, 3, 7).collect()}
+    assert len(got) == 7 * len(v)
+    for i in range(len(v)):
+        d = ((v[:, :3] - v[i, :3]) ** 2).sum(1)
+        for rn, j in enumerate([j for j in np.lexsort((np.arange(len(v)), d)) if j != i][:7], 1):
+            assert got[ids[i], rn] == (ids[j], d[j])
+
+
+def test_louvain_of_arrays():
+    rnd = np.random.default_rng(10)
+    a, b = (np.concatenate([c * 40 + rnd.integers(0, 40, 400) for c in range(5)] + [rnd.integers(0, 200, 60)]) for _ in range(2))
+    w = rnd.random(len(a))
+    labels = K.louvain((a, b, w), 200)
+    assert labels == K.louvain(list(zip(a.tolist(), b.tolist(), w.tolist())), 200)
+    assert sorted(set(labels)) == [1, 2, 3, 4, 5] and all(len(set(labels[40 * c : 40 * c + 40])) == 1 for c in range(5))
+    assert K.louvain([], 0) == [] and K.louvain([], 3) == [1, 2, 3]
+
+
 def test_kmeans_starts():
     assert inspect.signature(K.kmeans).parameters["seeds"].default == 25
 
