@@ -124,16 +124,65 @@ def edges_radius(cells: DataFrame, radius: float, k_cap: int | None = 50) -> Dat
     return range_pairs(p, radius).select(F.col("id").alias("from"), F.col("nid").alias("to"), F.sqrt("d2").alias("dist"))
 
 
-def _window_edges(k: int):
-    """Edges of one block's kNN graph, each pair once."""
-
-    def run(cells: pa.Table) -> pa.Table:
-        ids, x, y = (cells.column(c).to_numpy() for c in ("id", "x", "y"))
-        code = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
-        q, c, d2 = nearest(x, y, code, x, y, code, k)
-        a, b = np.minimum(ids[q], ids[c]), np.maximum(ids[q], ids[c])
-        _, first = np.unique(np.minimum(q, c) * len(ids) + np.maximum(q, c), return_index=True)
-        return pa.table([pa.array(a[first], cells.schema.field("id").type), pa.array(b[first], cells.schema.field("id").type), pa.array(d2[first])], names=["from", "to", "d2"])
+#: Tiles along a side of a task's square; neighbours looked at beyond k for cells near a block's border.
+SQUARE = 4
+SPARE = 4
+
+
+def _window_edges(k: int, tile: float):
+    """Edges that the cells of one square of tiles get from all their blocks, each pair once."""
+
+    def run(key, cells):
+        cells = cells.sort_by("id")
+        ids, x, y, gx, gy = (cells.column(c).to_numpy() for c in ("id", "x", "y", "gx", "gy"))
+        kind = cells.schema.field("id").type
+        code = np.arange(len(ids))
+        mine = np.flatnonzero((gx // SQUARE == key[0].as_py()) & (gy // SQUARE == key[1].as_py()))
+        tiles, of = np.unique(np.column_stack((gx, gy)), axis=0, return_inverse=True)
+        of, taken = of.ravel(), set(map(tuple, tiles.tolist()))
+        found = []
+        some, c, d2 = nearest(x[mine], y[mine], code[mine], x, y, code, k)
+        some = mine[some]
+        count = np.bincount(some, minlength=len(ids))
+        last = np.zeros(len(ids))
+        np.maximum.at(last, some, d2)
+        reach = np.where(count >= k, np.sqrt(last) * (1 + 1e-9), np.inf)
+        # every block of a cell has its whole tile: none matters if the circle stays inside
+        room = np.minimum(np.minimum(x - gx * tile, (gx + 1) * tile - x), np.minimum(y - gy * tile, (gy + 1) * tile - y)) - 1e-9 * (np.abs(x) + np.abs(y) + tile)
+        inner = reach < room
+        keep_ = inner[some]
+        found.append((some[keep_], c[keep_], d2[keep_]))
+        left = mine[~inner[mine]]
+        if len(left):
+            q, c, d2 = nearest(x[left], y[left], code[left], x, y, code, SPARE * k)
+            q = left[q]
+            by = np.lexsort((c, d2, q))
+            q, c, d2 = q[by], c[by], d2[by]
+            whole = np.bincount(q, minlength=len(ids)) < SPARE * k  # nothing lies beyond
+            for i in (-1, 0, 1):
+                for j in (-1, 0, 1):
+                    has = np.array([(a + i, b + j) in taken for a, b in tiles.tolist()], dtype=bool)[of]
+                    ok = has[q] & (np.abs(gx[c] - gx[q] - i) <= 1) & (np.abs(gy[c] - gy[q] - j) <= 1)
+                    a, b, d = q[ok], c[ok], d2[ok]
+                    place = np.arange(len(a)) - np.searchsorted(a, a)
+                    got = np.bincount(a, minlength=len(ids))
+                    full = (got >= k) | whole
+                    take = (place < k) & full[a]
+                    found.append((a[take], b[take], d[take]))
+                    # the rest meet the whole block
+                    more = left[has[left] & ~full[left]]
+                    by = np.lexsort((gy[more], gx[more]))
+                    more = more[by]
+                    for at in np.split(more, np.flatnonzero((np.diff(gx[more]) != 0) | (np.diff(gy[more]) != 0)) + 1):
+                        if len(at):
+                            block = np.flatnonzero((np.abs(gx - gx[at[0]] - i) <= 1) & (np.abs(gy - gy[at[0]] - j) <= 1))
+                            a, b, d = nearest(x[at], y[at], code[at], x[block], y[block], code[block], k)
+                            found.append((at[a], block[b], d))
+        a, b, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        _, first = np.unique(low * len(ids) + high, return_index=True)
+        to = cells.column("id").combine_chunks()
+        return pa.table([to.take(pa.array(low[first])).cast(kind), to.take(pa.array(high[first])).cast(kind), pa.array(d[first])], names=["from", "to", "d2"])
 
     return run
 
@@ -141,16 +190,15 @@ def _window_edges(k: int):
 def edges_window(cells: DataFrame, k: int, tile: float) -> DataFrame:
     """kNN graph within the 3 x 3 block around every tile that has cells, for every cell of the block; the union of all blocks.
 
-    A block's cells meet in one task, in a k-d tree; it gives at most k rows a cell, not its pairs. Coordinates that are null take no part.
+    Squares of tiles and the two tiles around them meet in a task, so it has all blocks of its cells. A cell is looked up once, and by blocks
+    only where its circle leaves its tile. A task gives at most 9 k rows a cell, not its pairs. Coordinates that are null take no part.
     """
     p = points(cells).where("x IS NOT NULL AND y IS NOT NULL").withColumn("gx", F.floor(F.col("x") / tile)).withColumn("gy", F.floor(F.col("y") / tile))
-    centres = p.select(F.col("gx").alias("bx"), F.col("gy").alias("by")).distinct()
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    member = p.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
-    member = member.select("id", "x", "y", (F.col("gx") + F.col("_i")).alias("bx"), (F.col("gy") + F.col("_j")).alias("by")).join(centres, ["bx", "by"], "left_semi")
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2) / SQUARE), F.floor((F.col(c) + 2) / SQUARE)))
+    member = p.withColumn("sx", spread("gx")).withColumn("sy", spread("gy"))
     kind = p.schema["id"].dataType
     schema = T.StructType([T.StructField("from", kind), T.StructField("to", kind), T.StructField("d2", T.DoubleType())])
-    found = member.groupBy("bx", "by").applyInArrow(_window_edges(k), schema)
+    found = member.groupBy("sx", "sy").applyInArrow(_window_edges(k, tile), schema)
     return found.groupBy("from", "to").agg(F.sqrt(F.min("d2")).alias("dist"))
 
 

@@ -198,6 +198,24 @@ def test_window_graph_matches_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in want)
 
 
+@pytest.mark.parametrize("square,spare", [(1, 1), (3, 2), (4, 4)])
+def test_window_graph_looks_a_cell_up_once(spark, monkeypatch, square, spare):
+    monkeypatch.setattr(W, "SQUARE", square)
+    monkeypatch.setattr(W, "SPARE", spare)
+    rnd = np.random.default_rng(14)
+    xy = np.vstack((rnd.random((150, 2)) * 80 - 40, rnd.random((400, 2)) * 3, np.repeat([[10.0, 10.0], [-20.0, 5.0]], 15, axis=0), [[500.0, 500.0]]))
+    df = table(spark, [(i, float(x), float(y), "t") for i, (x, y) in enumerate(xy)])
+    got = {(r["from"], r["to"]): r["dist"] for r in W.edges_window(df, 4, 10.0).collect()}
+    tile, want = np.floor(xy / 10).astype(int), {}
+    for b in {tuple(t) for t in tile}:
+        at = np.flatnonzero((np.abs(tile - b) <= 1).all(1))
+        for i in at:
+            d = ((xy[at] - xy[i]) ** 2).sum(1)
+            for j in [j for j in np.lexsort((at, d)) if at[j] != i][:4]:
+                want[min(i, at[j]), max(i, at[j])] = d[j] ** 0.5
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+
+
 def test_network_invariants(spark):
     rnd = np.random.default_rng(2)
     df = table(spark, [(i, float(x), float(y), "AB"[i % 2]) for i, (x, y) in enumerate(rnd.uniform(0, 100, (80, 2)))])
