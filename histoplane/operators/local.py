@@ -171,8 +171,8 @@ def _first(row, col, d, ids, k: int):
     return row[take], col[take], d[take]
 
 
-def nearest_vectors(q, q_id, c, c_id, k: int):
-    """The k nearest candidates of each query by (distance, id), its own id left out: query, candidate, squared distance.
+def nearest_vectors(q, q_id, c, c_id, k: int, reach2=None):
+    """The k nearest candidates of each query by (distance, id), its own id left out, at most ``reach2`` away: query, candidate, squared distance.
 
     Exact: a leaf of queries meets the leaves of candidates in order of their gap until none can be nearer than its worst k-th distance.
     Products of matrices with a slack choose which distances are computed.
@@ -190,33 +190,80 @@ def nearest_vectors(q, q_id, c, c_id, k: int):
         gap = (np.maximum(0, np.maximum(low - x.max(0), x.min(0) - high)) ** 2).sum(1)
         one = np.column_stack((x - middle, np.ones(len(at))))
         norm = ((x - middle) ** 2).sum(1)
-        bound = np.full(len(at), np.inf)
-        row, col, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        bound = np.full(len(at), np.inf) if reach2 is None else reach2[at]
+        row, col, about = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         new, size = [], 0
+
+        def known(row, col):
+            """The k least of what is left, by their distances."""
+            other = own[row] != c_id[col]
+            row, col = row[other], col[other]
+            d = ((c[col] - x[row]) ** 2).sum(1)
+            ok = d <= bound[row]
+            return _first(row[ok], col[ok], d[ok], c_id, k)
+
         order = np.argsort(gap, kind="stable")
         for n, p in enumerate(order):
             if gap[p] > bound.max() + slack:
                 break
-            about = one @ wide[p]
+            near = one @ wide[p]
             if not n and len(parts[p]) > k + 1:  # its own and k more
-                bound = np.partition(about, k, axis=1)[:, k] + norm + 2 * slack
-            r, j = np.nonzero(about <= (bound - norm + slack)[:, None])
-            j = parts[p][j]
-            other = own[r] != c_id[j]
-            new.append((r[other], j[other]))
-            size += len(r)
-            if size >= 4 * k * len(at) or n == len(order) - 1 or np.isinf(bound).any():
-                r, j = (np.concatenate([v[i] for v in new]) for i in range(2))
-                e = ((c[j] - x[r]) ** 2).sum(1)
-                ok = e <= bound[r]
-                row, col, d = _first(np.concatenate((row, r[ok])), np.concatenate((col, j[ok])), np.concatenate((d, e[ok])), c_id, k)
+                bound = np.minimum(bound, np.partition(near, k, axis=1)[:, k] + norm + 2 * slack)
+            hit = np.flatnonzero((near <= (bound - norm + slack)[:, None]).ravel())
+            r = hit // len(parts[p])
+            new.append((r, parts[p][hit - r * len(parts[p])], near.ravel()[hit] + norm[r]))
+            size += len(hit)
+            if size >= 2 * (k + 1) * len(at) or np.isinf(bound).any():
+                row, col, about = (np.concatenate([old, *(v[i] for v in new)]) for i, old in enumerate((row, col, about)))
                 new, size = [], 0
-                full = np.bincount(row, minlength=len(at)) >= k
-                last = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if len(row) else np.empty(0, np.int64)
-                bound[row[last]] = np.where(full[row[last]], d[last], bound[row[last]])
-        if new:
-            r, j = (np.concatenate([v[i] for v in new]) for i in range(2))
-            e = ((c[j] - x[r]) ** 2).sum(1)
-            row, col, d = _first(np.concatenate((row, r)), np.concatenate((col, j)), np.concatenate((d, e)), c_id, k)
+                # a row's least k + 1, its own among them, by sorting (row, distance in 32 bits); what is added covers the rounding
+                key = (row.astype(np.uint64) << np.uint64(32)) | np.clip(about, 0, 3e38).astype(np.float32).view(np.uint32)
+                key.sort()
+                count = np.bincount(row, minlength=len(at))
+                full = count > k
+                last = (key[(np.cumsum(count) - count)[full] + k] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32).astype(np.float64)
+                bound[full] = np.minimum(bound[full], np.where(last < 2.9e38, last * (1 + 1e-6) + 1e-30 + 2 * slack, np.inf))
+                ok = about <= bound[row] + slack
+                row, col, about = row[ok], col[ok], about[ok]
+                if len(row) > 4 * (k + 1) * len(at):  # many at one distance
+                    row, col, about = known(row, col)
+                    count = np.bincount(row, minlength=len(at))
+                    full = count >= k
+                    bound[full] = np.minimum(bound[full], about[(np.cumsum(count) - 1)[full]])
+        row, col, d = known(*(np.concatenate([old, *(v[i] for v in new)]) for i, old in enumerate((row, col))))
         out.append((at[row], col, d))
     return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def nearest_outside(q, q_core, q_of, c, c_core, c_of, limit):
+    """For each component of the queries its edge of least mutual reachability to a candidate of another: component, weight, query, candidate.
+
+    Only edges below the component's ``limit`` (an array by component) count; their weight is the largest of both core distances and the distance.
+    """
+    best = limit.copy()
+    of, to = np.full(len(limit), -1), np.full(len(limit), -1)
+    parts = boxes(c, 1024)
+    low, high = (np.array([f(c[at], axis=0) for at in parts]) for f in (np.min, np.max))
+    middle = c.mean(0)
+    slack = 1e-11 * (((c - middle) ** 2).sum(1).max() + ((q - middle) ** 2).sum(1).max())
+    for at in boxes(q, 512):
+        x, own = q[at], q_of[at]
+        one = np.column_stack((x - middle, np.ones(len(at))))
+        norm = ((x - middle) ** 2).sum(1)
+        gap = (np.maximum(0, np.maximum(low - x.max(0), x.min(0) - high)) ** 2).sum(1)
+        for p in np.argsort(gap, kind="stable"):
+            bound = best[own]
+            if gap[p] > bound.max() ** 2 + slack:
+                break
+            part = parts[p]
+            about = one @ np.column_stack((-2 * (c[part] - middle), ((c[part] - middle) ** 2).sum(1))).T
+            r, j = np.nonzero((about <= (bound**2 - norm + slack)[:, None]) & (own[:, None] != c_of[part][None, :]))
+            j = part[j]
+            w = np.maximum(np.maximum(np.sqrt(((c[j] - x[r]) ** 2).sum(1)), c_core[j]), q_core[at][r])
+            ok = w < bound[r]
+            r, j, w = r[ok], j[ok], w[ok]
+            by = np.lexsort((j, r, w, own[r]))
+            first = by[np.append(True, np.diff(own[r][by]) != 0)] if len(by) else by
+            best[own[r[first]]], of[own[r[first]]], to[own[r[first]]] = w[first], at[r[first]], j[first]
+    found = np.flatnonzero(of >= 0)
+    return found, best[found], of[found], to[found]

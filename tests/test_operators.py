@@ -418,6 +418,90 @@ def test_density_labels():
     assert labels[:40].tolist() == [1] * 40 and labels[40:70].tolist() == [2] * 30 and labels[70] == 0
 
 
+def clumps():
+    """Groups far apart and near ones, copies, ties and single rows."""
+    rnd = np.random.default_rng(11)
+    far = [rnd.normal(0, 0.1, (150, 3)) + c for c in ([0, 0, 0], [40, 0, 0], [40, 1, 0], [0, 300, 0])]
+    return np.vstack((*far, np.full((30, 3), 7.0), np.round(rnd.normal(5, 1, (120, 3)), 1), [[1e4, 0, 0], [0, -1e4, 0]]))
+
+
+def test_density_tree_by_parts(spark, monkeypatch):
+    v = clumps()
+    n = len(v)
+    monkeypatch.setattr(K, "CANDIDATES", 200)
+    monkeypatch.setattr(K, "QUERIES", 50)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "_i long, vec array<double>")
+    k = 6
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    lists = {r._i: (r.near, r.d2) for r in K.near_lists(rows, n, k).collect()}
+    assert sorted(lists) == list(range(n))
+    for i in range(n):
+        want = [j for j in np.lexsort((np.arange(n), ((v - v[i]) ** 2).sum(1))) if j != i][:k]
+        assert lists[i] == (want, ((v[want] - v[i]) ** 2).sum(1).tolist())
+    core = np.sort(d, axis=1)[:, k]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+    best, done, want, at = np.full(n, np.inf), np.zeros(n, bool), [], 0
+    for _ in range(n - 1):
+        done[at] = True
+        best = np.minimum(best, reach[at])
+        at = int(np.argmin(np.where(done, np.inf, best)))
+        want.append(best[at])
+    w, a, b = K.reachability_tree(rows, n, k)
+    assert sorted(w) == sorted(want) and (w == reach[a, b]).all()
+    up = list(range(n))
+    for x, y in zip(a.tolist(), b.tolist()):
+        while up[x] != x:
+            x = up[x]
+        while up[y] != y:
+            y = up[y]
+        assert x != y
+        up[x] = y
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_hdbscan_by_parts(spark, monkeypatch, text_ids):
+    monkeypatch.setattr(K, "CANDIDATES", 400)
+    v = clumps()
+    ids = [f"c{i:04d}" if text_ids else i for i in range(len(v))]
+    df = spark.createDataFrame([(c, "x", [float(x) for x in r]) for c, r in zip(ids, v)], f"cell_id {'string' if text_ids else 'long'}, kept string, vec array<double>")
+    got = K.hdbscan(df.repartition(5))
+    assert got.columns == ["cell_id", "kept", "vec", "Neighborhood_Cluster"]
+    labels = {r.cell_id: r.Neighborhood_Cluster for r in got.collect()}
+    want = K.density_labels(v, max(5, len(v) // 100))
+    assert labels == {c: f"CN{i}" for c, i in zip(ids, want)} and len(set(want)) > 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4])
+def test_hdbscan_of_few(spark, n):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(n)], "cell_id long, vec array<double>")
+    assert {r.cell_id: r.Neighborhood_Cluster for r in K.hdbscan(df).collect()} == {i: "CN0" for i in range(n)}
+
+
+def test_density_labels_follow_no_order():
+    # the row at 0 reaches both groups at one height; wherever it stands in the table, it goes to neither
+    left = np.array([-1.0, -1.1, -1.15, -1.2, -1.21])
+    line = np.concatenate((left, -left, [0.0]))
+    for at in range(len(line)):
+        order = np.insert(np.arange(10), at, 10)
+        labels = K.density_labels(line[order][:, None], 4)
+        assert labels[at] == 0 and len(set(labels[order < 5])) == 1 and len(set(labels[(order >= 5) & (order < 10)])) == 1 and set(labels) == {0, 1, 2}
+
+
+def test_nearest_outside():
+    from histoplane.operators.local import nearest_outside
+
+    rnd = np.random.default_rng(12)
+    v, core, of = rnd.normal(0, 1, (3000, 4)), rnd.random(3000) / 2, rnd.integers(0, 7, 3000)
+    q = np.arange(0, 1200)
+    reach = np.maximum(np.maximum(np.sqrt(((v[q][:, None] - v[None]) ** 2).sum(2)), core[None]), core[q][:, None])
+    reach[of[q][:, None] == of[None]] = np.inf
+    limit = np.full(7, np.inf)
+    limit[2] = 1e-9
+    c, w, a, b = nearest_outside(v[q], core[q], of[q], v, core, of, limit)
+    assert c.tolist() == [0, 1, 3, 4, 5, 6]
+    assert w.tolist() == [reach[of[q] == x].min() for x in c] and (reach[a, b] == w).all() and (of[q][a] == c).all()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "counts.csv").write_text("gene,c1,c2,c3\np1,1,0,5\np2,2,0,1\n")
     (tmp_path / "coords.csv").write_text("cell,a,b\nc1,1,2\nc3,3,4\nc9,5,6\n")
