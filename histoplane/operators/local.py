@@ -175,7 +175,7 @@ def nearest_vectors(q, q_id, c, c_id, k: int, reach2=None):
     """The k nearest candidates of each query by (distance, id), its own id left out, at most ``reach2`` away: query, candidate, squared distance.
 
     Exact: a leaf of queries meets the leaves of candidates in order of their gap until none can be nearer than its worst k-th distance.
-    Products of matrices with a slack choose which distances are computed.
+    Products of matrices with a slack choose which distances are computed, in single precision where its slack is small beside the bounds.
     """
     if not len(q) or not len(c):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -183,7 +183,10 @@ def nearest_vectors(q, q_id, c, c_id, k: int, reach2=None):
     low, high = (np.array([f(c[at], axis=0) for at in parts]) for f in (np.min, np.max))
     middle = c.mean(0)
     wide = [np.column_stack((-2 * (c[at] - middle), ((c[at] - middle) ** 2).sum(1))).T for at in parts]
-    slack = 1e-11 * (((c - middle) ** 2).sum(1).max() + ((q - middle) ** 2).sum(1).max())
+    most = ((c - middle) ** 2).sum(1).max() + ((q - middle) ** 2).sum(1).max()
+    # rounding of a product of d + 1 terms in 32 bits is under (d + 4) * 2**-24 times the sum of their sizes, which is under twice ``most``
+    fine, coarse = 1e-11 * most, (c.shape[1] + 4) * 2.0**-22 * most
+    narrow: list = []
     out = []
     for at in boxes(q, 512):
         x, own = q[at], q_id[at]
@@ -193,6 +196,7 @@ def nearest_vectors(q, q_id, c, c_id, k: int, reach2=None):
         bound = np.full(len(at), np.inf) if reach2 is None else reach2[at]
         row, col, about = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         new, size = [], 0
+        slack, single = fine, False
 
         def known(row, col):
             """The k least of what is left, by their distances."""
@@ -206,10 +210,16 @@ def nearest_vectors(q, q_id, c, c_id, k: int, reach2=None):
         for n, p in enumerate(order):
             if gap[p] > bound.max() + slack:
                 break
-            near = one @ wide[p]
+            near = thin @ narrow[p] if single else one @ wide[p]
             if not n and len(parts[p]) > k + 1:  # its own and k more
                 bound = np.minimum(bound, np.partition(near, k, axis=1)[:, k] + norm + 2 * slack)
-            hit = np.flatnonzero((near <= (bound - norm + slack)[:, None]).ravel())
+                if 1e-30 < most < 1e30 and coarse < 0.005 * np.median(bound):
+                    narrow = narrow or [w.astype(np.float32) for w in wide]
+                    slack, single, thin = coarse, True, one.astype(np.float32)
+            limit = bound - norm + slack
+            if single:
+                limit = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+            hit = np.flatnonzero((near <= limit[:, None]).ravel())
             r = hit // len(parts[p])
             new.append((r, parts[p][hit - r * len(parts[p])], near.ravel()[hit] + norm[r]))
             size += len(hit)

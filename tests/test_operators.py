@@ -487,6 +487,25 @@ def test_density_labels_follow_no_order():
         assert labels[at] == 0 and len(set(labels[order < 5])) == 1 and len(set(labels[(order >= 5) & (order < 10)])) == 1 and set(labels) == {0, 1, 2}
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-18, 1e25])
+def test_nearest_vectors_against_all(scale):
+    from histoplane.operators.local import nearest_vectors
+
+    rnd = np.random.default_rng(13)
+    v = np.vstack((rnd.normal(0, 1, (5000, 12)), np.round(rnd.normal(0, 1, (800, 12))), np.full((200, 12), 0.5))) * scale
+    ids = rnd.permutation(len(v))
+    asked = np.concatenate((np.arange(0, 5000, 25), np.arange(5000, 6000, 20)))
+    d = np.array([((v - v[i]) ** 2).sum(1) for i in asked])
+    want = [[(d[n, j], ids[j]) for j in np.lexsort((ids, d[n])) if j != i][:15] for n, i in enumerate(asked)]
+    r, j, e = nearest_vectors(v[asked], ids[asked], v, ids, 15)
+    got = [[(x, y) for x, y in zip(e[r == n], ids[j[r == n]])] for n in range(len(asked))]
+    assert got == want
+    # the bound of a first part leaves what is nearer in the rest
+    reach2 = np.array([np.sort(x)[8] for x in d])
+    r, j, e = nearest_vectors(v[asked], ids[asked], v, ids, 15, reach2)
+    assert [[(x, y) for x, y in zip(e[r == n], ids[j[r == n]])] for n in range(len(asked))] == [[x for x in w if x[0] <= m] for w, m in zip(want, reach2)]
+
+
 def test_nearest_outside():
     from histoplane.operators.local import nearest_outside
 
